@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: query name -> module with query() and, where SQL can express it, ORACLE
 MODULES = {
+    "op4_avi_media": "media",
     "op5_secret_scans": "secrets",
     "op9_source_mixing": "mixing",
 }
