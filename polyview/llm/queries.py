@@ -8,6 +8,7 @@ from importlib import import_module
 MODULES = {
     "op4_avi_media": "media",
     "op5_secret_scans": "secrets",
+    "op6_byte_bpe": "bpe",
     "op9_source_mixing": "mixing",
 }
 
