@@ -9,6 +9,7 @@ MODULES = {
     "op4_avi_media": "media",
     "op5_secret_scans": "secrets",
     "op6_byte_bpe": "bpe",
+    "op7_language_id": "langid",
     "op9_source_mixing": "mixing",
 }
 
