@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from .common import durable, load, partitions
 
-CHUNK = 8 << 20
+CHUNK = 16 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -63,6 +63,15 @@ def unpack(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
+def pack_numbers(x: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers, one byte plane after another: small numbers cost little."""
+    return pack(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def unpack_numbers(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(unpack(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def pack_words(words: list[bytes]) -> bytes:
     """Lengths and bytes of words."""
     return pack(np.array([len(words), *map(len, words)], np.uint32).tobytes() + b"".join(words))
@@ -96,9 +105,11 @@ def chunked(batches, text_at: int = 1, limit: int = CHUNK):
 
 
 def explode_pretokens(docs: DataFrame, pattern: str, id_col: str, text_col: str, buckets: int, chunk_bytes: int = CHUNK) -> DataFrame:
-    """One row per chunk: chunk, ids, lengths (pre-tokens per document), stream (packed word numbers), words (packed, one entry per bucket).
+    """One row per chunk: chunk, ids, lengths (pre-tokens per document), stream (packed word numbers), classes, words (packed, one entry per bucket).
 
-    Words are numbered bucket after bucket, in order of first appearance within the bucket.
+    A word's class is the number of bits of its count in the chunk.  Words are numbered by falling
+    class, bucket and bytes; a bucket lists its words by falling class and bytes, and ``classes``
+    (buckets * 32 counts) ties the two orders together.
     """
     id_type = docs.schema[id_col].dataType
 
@@ -116,20 +127,24 @@ def explode_pretokens(docs: DataFrame, pattern: str, id_col: str, text_col: str,
                     found = find(text) if text else []
                     lengths.append(len(found))
                     streams.append(np.fromiter(map(number.__getitem__, found), np.uint32, len(found)))
-            words = [w.encode() for w in number]
-            bucket = np.fromiter((zlib.crc32(w) for w in words), np.uint32, len(words)) % buckets
-            order = np.argsort(bucket, kind="stable")
+            words = sorted((w.encode(), i) for w, i in number.items())
+            local = np.concatenate(streams) if streams else np.empty(0, np.uint32)
+            was = np.fromiter((i for _, i in words), np.int64, len(words))
+            words = [w for w, _ in words]
+            bucket = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % buckets
+            cls = np.frexp(np.bincount(local, minlength=len(words))[was])[1]
             place = np.empty(len(words), np.uint32)
-            place[order] = np.arange(len(words), dtype=np.uint32)
+            place[was[np.lexsort((bucket, -cls))]] = np.arange(len(words), dtype=np.uint32)
+            order = np.lexsort((-cls, bucket))
             ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
             lists = [pack_words([words[i] for i in order[a:b].tolist()]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            stream = place[np.concatenate(streams)] if streams else place
+            classes = np.bincount(bucket * 32 + (31 - cls), minlength=buckets * 32)
             ids = pa.concat_arrays([x for b in group for x in [b.column(0)]])
-            arrays = [pa.array([part << 33 | k], pa.int64()), pa.ListArray.from_arrays([0, len(ids)], ids), pa.array([lengths], pa.list_(pa.int32())), pa.array([pack(stream.tobytes())], pa.binary()), pa.array([lists], pa.list_(pa.binary()))]
+            arrays = [pa.array([part << 33 | k], pa.int64()), pa.ListArray.from_arrays([0, len(ids)], ids), pa.array([lengths], pa.list_(pa.int32())), pa.array([pack_numbers(place[local])], pa.binary()), pa.array([pack_numbers(classes)], pa.binary()), pa.array([lists], pa.list_(pa.binary()))]
             yield pa.RecordBatch.from_arrays(arrays, schema.names)
             k += 1
 
-    schema = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("ids", T.ArrayType(id_type)), T.StructField("lengths", T.ArrayType(T.IntegerType())), T.StructField("stream", T.BinaryType()), T.StructField("words", T.ArrayType(T.BinaryType()))])
+    schema = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("ids", T.ArrayType(id_type)), T.StructField("lengths", T.ArrayType(T.IntegerType())), T.StructField("stream", T.BinaryType()), T.StructField("classes", T.BinaryType()), T.StructField("words", T.ArrayType(T.BinaryType()))])
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
@@ -148,8 +163,8 @@ def encode_words(lists: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
                         known[w] = enc.encode_ordinary(w.decode())
                 ids = [known[w] for w in words]
                 flat = np.fromiter((i for x in ids for i in x), np.uint32)
-                data = np.array([len(ids), *map(len, ids)], np.uint32).tobytes() + flat.tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([chunk], pa.int64()), pa.array([pack(data)], pa.binary())], ["bucket", "chunk", "tokens"])
+                data = np.concatenate([np.array([len(ids), *map(len, ids)], np.uint32), flat])
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([chunk], pa.int64()), pa.array([pack_numbers(data)], pa.binary())], ["bucket", "chunk", "tokens"])
 
     return lists.groupBy("bucket").applyInArrow(run, "bucket int, chunk bigint, tokens binary")
 
@@ -185,11 +200,14 @@ def _assemble(docs, ranks, pattern, id_col, text_col, chunk_bytes, field, make):
         ids = left.column("ids").combine_chunks()
         if not len(ids):
             return pa.table([pa.array([], type=f) for f in _arrow(schema)], names=schema.names)
-        parts = [np.frombuffer(unpack(t), np.uint32) for _, t in sorted(zip(right.column("bucket").to_pylist(), right.column("tokens").to_pylist(), strict=True))]
+        parts = [unpack_numbers(t) for _, t in sorted(zip(right.column("bucket").to_pylist(), right.column("tokens").to_pylist(), strict=True))]
         sizes = np.concatenate([p[1 : 1 + p[0]] for p in parts]).astype(np.int64)
         flat = np.concatenate([p[1 + p[0] :] for p in parts])
         starts = np.cumsum(sizes) - sizes
-        stream = np.frombuffer(unpack(left.column("stream")[0].as_py()), np.uint32)
+        classes = unpack_numbers(left.column("classes")[0].as_py())
+        by_number = np.argsort(np.repeat(np.tile(np.arange(32), buckets), classes), kind="stable")
+        sizes, starts = sizes[by_number], starts[by_number]
+        stream = unpack_numbers(left.column("stream")[0].as_py())
         lengths = left.column("lengths")[0].as_py()
 
         def each():
@@ -203,7 +221,7 @@ def _assemble(docs, ranks, pattern, id_col, text_col, chunk_bytes, field, make):
 
         return pa.table([ids.flatten(), *make(each(), table.value)], names=schema.names)
 
-    return chunks.select("chunk", "ids", "lengths", "stream").groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(run, schema)
+    return chunks.select("chunk", "ids", "lengths", "stream", "classes").groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(run, schema)
 
 
 def _arrow(schema):
