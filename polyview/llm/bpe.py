@@ -73,16 +73,28 @@ def unpack_numbers(data: bytes) -> np.ndarray:
 
 
 def pack_words(words: list[bytes]) -> bytes:
-    """Lengths and bytes of words."""
-    return pack(np.array([len(words), *map(len, words)], np.uint32).tobytes() + b"".join(words))
+    """Front coding: how much each word shares with the one before (255 bytes at most), how long the rest is, and the rests."""
+    shared, rests, last = [], [], b""
+    for w in words:
+        k, most = 0, min(len(w), len(last), 255)
+        while k < most and w[k] == last[k]:
+            k += 1
+        shared.append(k)
+        rests.append(w[k:])
+        last = w
+    head = pack_numbers(np.array([*shared, *map(len, rests)], np.uint32))
+    return len(head).to_bytes(4, "little") + head + pack(b"".join(rests))
 
 
 def unpack_words(data: bytes) -> list[bytes]:
-    raw = unpack(data)
-    n = int.from_bytes(raw[:4], "little")
-    ends = np.cumsum(np.frombuffer(raw, np.uint32, n, 4), dtype=np.int64) + 4 * (n + 1)
-    starts = [4 * (n + 1), *ends[:-1].tolist()] if n else []
-    return [raw[a:b] for a, b in zip(starts, ends.tolist(), strict=True)]
+    cut = 4 + int.from_bytes(data[:4], "little")
+    shared, sizes = unpack_numbers(data[4:cut]).reshape(2, -1).tolist()
+    rests, at, out, last = unpack(data[cut:]), 0, [], b""
+    for k, n in zip(shared, sizes, strict=True):
+        last = last[:k] + rests[at : at + n]
+        at += n
+        out.append(last)
+    return out
 
 
 def chunked(batches, text_at: int = 1, limit: int = CHUNK):
