@@ -116,6 +116,30 @@ def chunked(batches, text_at: int = 1, limit: int = CHUNK):
         yield held
 
 
+def lay_out(words: list[bytes], local: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+    """Number a chunk's words anew.
+
+    place: the number of each word; order: the words as the buckets list them; lists: packed words of
+    each bucket; classes: how many words each (bucket, class) has.  See explode_pretokens.
+    """
+    n = len(words)
+    was = np.array(sorted(range(n), key=words.__getitem__), np.int64)
+    bucket = np.fromiter((zlib.crc32(words[i]) for i in was.tolist()), np.uint32, n) % buckets
+    cls = np.frexp(np.bincount(local, minlength=n)[was])[1]
+    place = np.empty(n, np.uint32)
+    place[was[np.lexsort((bucket, -cls))]] = np.arange(n, dtype=np.uint32)
+    by_bucket = np.lexsort((-cls, bucket))
+    order = was[by_bucket]
+    ends = np.searchsorted(bucket[by_bucket], np.arange(buckets + 1))
+    lists = [pack_words([words[i] for i in order[a:b].tolist()]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    return place, order, lists, np.bincount(bucket * 32 + (31 - cls), minlength=buckets * 32)
+
+
+def by_number(classes: bytes, buckets: int) -> np.ndarray:
+    """Place in the buckets' lists, put end to end, of each word number."""
+    return np.argsort(np.repeat(np.tile(np.arange(32), buckets), unpack_numbers(classes)), kind="stable")
+
+
 def explode_pretokens(docs: DataFrame, pattern: str, id_col: str, text_col: str, buckets: int, chunk_bytes: int = CHUNK) -> DataFrame:
     """One row per chunk: chunk, ids, lengths (pre-tokens per document), stream (packed word numbers), classes, words (packed, one entry per bucket).
 
@@ -139,18 +163,8 @@ def explode_pretokens(docs: DataFrame, pattern: str, id_col: str, text_col: str,
                     found = find(text) if text else []
                     lengths.append(len(found))
                     streams.append(np.fromiter(map(number.__getitem__, found), np.uint32, len(found)))
-            words = sorted((w.encode(), i) for w, i in number.items())
             local = np.concatenate(streams) if streams else np.empty(0, np.uint32)
-            was = np.fromiter((i for _, i in words), np.int64, len(words))
-            words = [w for w, _ in words]
-            bucket = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % buckets
-            cls = np.frexp(np.bincount(local, minlength=len(words))[was])[1]
-            place = np.empty(len(words), np.uint32)
-            place[was[np.lexsort((bucket, -cls))]] = np.arange(len(words), dtype=np.uint32)
-            order = np.lexsort((-cls, bucket))
-            ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            lists = [pack_words([words[i] for i in order[a:b].tolist()]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            classes = np.bincount(bucket * 32 + (31 - cls), minlength=buckets * 32)
+            place, _, lists, classes = lay_out([w.encode() for w in number], local, buckets)
             ids = pa.concat_arrays([x for b in group for x in [b.column(0)]])
             arrays = [pa.array([part << 33 | k], pa.int64()), pa.ListArray.from_arrays([0, len(ids)], ids), pa.array([lengths], pa.list_(pa.int32())), pa.array([pack_numbers(place[local])], pa.binary()), pa.array([pack_numbers(classes)], pa.binary()), pa.array([lists], pa.list_(pa.binary()))]
             yield pa.RecordBatch.from_arrays(arrays, schema.names)
@@ -216,9 +230,8 @@ def _assemble(docs, ranks, pattern, id_col, text_col, chunk_bytes, field, make):
         sizes = np.concatenate([p[1 : 1 + p[0]] for p in parts]).astype(np.int64)
         flat = np.concatenate([p[1 + p[0] :] for p in parts])
         starts = np.cumsum(sizes) - sizes
-        classes = unpack_numbers(left.column("classes")[0].as_py())
-        by_number = np.argsort(np.repeat(np.tile(np.arange(32), buckets), classes), kind="stable")
-        sizes, starts = sizes[by_number], starts[by_number]
+        at = by_number(left.column("classes")[0].as_py(), buckets)
+        sizes, starts = sizes[at], starts[at]
         stream = unpack_numbers(left.column("stream")[0].as_py())
         lengths = left.column("lengths")[0].as_py()
 
