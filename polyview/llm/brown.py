@@ -31,11 +31,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import CHUNK, by_number, chunked, lay_out, pack_numbers, unpack_numbers, unpack_words
+from .bpe import by_number, chunked, lay_out, pack_numbers, unpack_numbers, unpack_words
 from .common import crc_mod, durable, load, partitions, words_of
 
 #: The end token; no word is empty.
 END = b""
+#: Bytes of text in a chunk; bounds the memory of a task.
+CHUNK = 6 << 20
 
 
 def word_chunks(docs: DataFrame, id_col: str, text_col: str, held: Column, buckets: int, chunk_bytes: int = CHUNK) -> DataFrame:
@@ -284,7 +286,7 @@ def fit_and_score(docs: DataFrame, held: Column, id_col: str = "doc_id", text_co
     vocabulary = durable(count_words(chunks, core))
     n, v = vocabulary.agg(F.sum("n_tokens"), F.sum("n_words")).first()
     n, v = n or 0, v or 0
-    top = vocabulary.select(F.explode("counts").alias("c")).select("c.*").where(F.col("n") * core >= n).toArrow().to_pylist()
+    top = vocabulary.select(F.explode(F.filter("counts", lambda c: c.n * core >= n)).alias("c")).select("c.*").toArrow().to_pylist()
     words = [r["word"] for r in sorted(top, key=lambda r: (-r["n"], r["word"]))]
     spec = Spec(n, v, k, {w: i for i, w in enumerate(words)})
     m = len(words)
