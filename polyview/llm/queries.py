@@ -11,6 +11,7 @@ MODULES = {
     "op5_secret_scans": "secrets",
     "op6_byte_bpe": "bpe",
     "op7_language_id": "langid",
+    "op8_multi_index": "multi_index",
     "op9_source_mixing": "mixing",
 }
 
