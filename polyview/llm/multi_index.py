@@ -91,7 +91,7 @@ def usable_vectors(table: DataFrame, id_col: str, vec_col: str) -> tuple[DataFra
     return t.where(F.size("v") == dim), dim
 
 
-def search(table: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, share: float = 0.6, centroids: int = 16, sample: int = 20000, part: int = 2000) -> DataFrame:
+def search(table: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, share: float = 0.6, centroids: int = 16, sample: int = 20000, part: int = 500) -> DataFrame:
     """(query_id, rank, vec_id, score) of the ``k`` nearest found to each row for which ``is_query`` (a condition on ``id_col``) holds."""
     spark = table.sparkSession
     vectors, dim = usable_vectors(table, id_col, vec_col)
@@ -132,7 +132,7 @@ def search(table: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col:
             first, second = distances(u[:, :half], c1), distances(u[:, half:], c2)
             asks = defaultdict(list)
             for i in range(len(y)):
-                for cell in walk(first[i], second[i], n, share * n.sum()):
+                for cell in walk(first[i], second[i], n, max(share * n.sum(), k + 1)):
                     asks[cell].append(i)
             for cell, who in asks.items():
                 m = int(split[cell])
