@@ -7,6 +7,7 @@ from importlib import import_module
 #: query name -> module with query() and, where SQL can express it, ORACLE
 MODULES = {
     "op1_brown_scoring": "brown",
+    "op2_ngram_jaccard": "jaccard",
     "op4_avi_media": "media",
     "op5_secret_scans": "secrets",
     "op6_byte_bpe": "bpe",
