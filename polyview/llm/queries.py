@@ -14,6 +14,7 @@ MODULES = {
     "op7_language_id": "langid",
     "op8_multi_index": "multi_index",
     "op9_source_mixing": "mixing",
+    "op10_suffix_dedup": "repeats",
 }
 
 
