@@ -80,8 +80,9 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def first_words(text, n):
-    """The text up to the end of its ``n``-th word (n >= 1)."""
-    return F.regexp_extract(text, F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), n.cast("string"), F.lit("}")), 0)
+    """The text up to the end of its ``n``-th word (n >= 1): the lengths of n gaps and words, summed."""
+    lengths = lambda parts: F.aggregate(F.slice(parts, F.lit(1), n.cast("int")), F.lit(0), lambda acc, x: acc + F.length(x))
+    return F.substring(text, F.lit(1), lengths(F.split(text, WORD, -1)) + lengths(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))))
 
 
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **params) -> DataFrame:
