@@ -128,8 +128,9 @@ class MultiviewICA:
     of every view.  A step that lowers the likelihood too little is halved.
     """
 
-    def __init__(self, n_components=None, noise=1.0, max_iter=200, tol=1e-3, multiview_output=True, random_state=0):
+    def __init__(self, n_components=None, noise=1.0, max_iter=200, tol=1e-3, multiview_output=True, random_state=0, init_iter=40):
         self.n_components, self.noise, self.max_iter, self.tol, self.multiview_output, self.random_state = n_components, noise, max_iter, tol, multiview_output, random_state
+        self.init_iter = init_iter
 
     def fit(self, mv):
         mv = mv.checked(multiview=True)
@@ -141,7 +142,7 @@ class MultiviewICA:
             maps.append(v / (s / math.sqrt(g.n)))
         white = mv.with_views([X.project(x, m, mean) for x, m, mean in zip(mv.cols(), maps, g.means, strict=True)], [k] * len(maps))
         # start: ICA of the first view, others matched to it through their cross moments
-        own = [fastica(type(mv)(white.df, white.key, (v,), None, (k,)), k, seed=self.random_state) for v in white.views]
+        own = [fastica(type(mv)(white.df, white.key, (v,), None, (k,)), k, self.init_iter, seed=self.random_state) for v in white.views]
         cross = gram(white)
         ws = [own[0]]
         for i in range(1, len(own)):

@@ -91,11 +91,12 @@ def crossviews_table(mv: MultiviewFrame, dimensions=None) -> DataFrame:
     if any(i < 0 or i >= w for ids, w in zip(d, mv.dims, strict=True) for i in ids):
         raise ValueError("a dimension is out of range")
     pairs = F.array(*[F.struct(F.lit(i).alias("dim1"), F.lit(j).alias("dim2"), F.col(mv.views[0])[i].alias("x"), F.col(mv.views[1])[j].alias("y")) for i in d[0] for j in d[1]])
-    return mv.df.select(*mv.keep(), F.explode(pairs).alias("p")).select(*mv.keep(), "p.*")
+    label = [F.col(mv.label).alias("label")] if mv.label else []
+    return mv.df.select(mv.key, *label, F.explode(pairs).alias("p")).select(mv.key, *(["label"] if label else []), "p.*")
 
 
 def quick_table(mv: MultiviewFrame) -> DataFrame:
     """Two scaling coordinates of every sample."""
     from .embed import MVMDS
 
-    return MVMDS(2).fit_transform(mv).select(*mv.keep(), F.col("mds")[0].alias("x"), F.col("mds")[1].alias("y"))
+    return MVMDS(2).fit_transform(mv).select(mv.key, *([F.col(mv.label).alias("label")] if mv.label else []), F.col("mds")[0].alias("x"), F.col("mds")[1].alias("y"))
