@@ -14,6 +14,11 @@ def vector(values: Sequence[float]) -> Column:
     return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once however often body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
 
@@ -36,15 +41,14 @@ def subtract(a: Column, b: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """The vector divided by its length; a zero vector stays."""
-    n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x / n)).otherwise(a)
+    return let(F.struct(a.alias("v"), norm(a).alias("n")), lambda s: F.when(s.n > 0, F.transform(s.v, lambda x: x / s.n)).otherwise(s.v))
 
 
 def project(v: Column, matrix: np.ndarray, mean: np.ndarray | None = None) -> Column:
     """(v - mean)' matrix: one dot product per column of the matrix."""
     matrix = np.asarray(matrix, float)
     offset = np.zeros(matrix.shape[1]) if mean is None else np.asarray(mean) @ matrix
-    return F.array(*[dot(v, vector(c)) - float(o) for c, o in zip(matrix.T, offset, strict=True)])
+    return let(v, lambda x: F.array(*[dot(x, vector(c)) - float(o) for c, o in zip(matrix.T, offset, strict=True)]))
 
 
 def argmin(values: Sequence[Column]) -> Column:

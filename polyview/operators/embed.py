@@ -187,9 +187,8 @@ class GCCA:
         """Each row minus its mean over its deviation (n - 1); a constant row becomes zeros."""
         out = []
         for v in mv.cols():
-            mean = X.total(v) / F.size(v)
-            dev = F.sqrt(X.total(F.transform(v, lambda x: (x - mean) * (x - mean))) / (F.size(v) - 1))
-            out.append(F.when(dev > 0, F.transform(v, lambda x: (x - mean) / dev)).otherwise(F.transform(v, lambda x: x * 0.0)))
+            centred = X.let(F.struct(v.alias("v"), (X.total(v) / F.size(v)).alias("m")), lambda s: F.transform(s.v, lambda x: x - s.m))
+            out.append(X.let(centred, lambda c: X.let(F.struct(c.alias("c"), F.sqrt(X.dot(c, c) / (F.size(c) - 1)).alias("dev")), lambda s: F.transform(s.c, lambda x: F.when(s.dev > 0, x / s.dev).otherwise(0.0)))))
         return mv.with_views(out, mv.dims)
 
     def _rank(self, svals, n, d):
@@ -230,9 +229,8 @@ class GCCA:
         return self
 
     def transform(self, mv, view_idx=None):
-        ids = range(len(self.projections_)) if view_idx is None else np.atleast_1d(view_idx)
-        cols = self.row_scaled(mv).cols() if len(mv.views) == len(list(ids)) else None
-        if cols is None:
+        ids = list(range(len(self.projections_))) if view_idx is None else list(np.atleast_1d(view_idx))
+        if len(mv.views) != len(ids):
             raise ValueError("views and indexes differ in number")
         scaled = self.row_scaled(mv)
         return scaled.with_views([X.project(v, self.projections_[i], self.means_[i]) for v, i in zip(scaled.cols(), ids, strict=True)])
