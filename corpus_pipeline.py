@@ -11,6 +11,18 @@ from polyview.llm.common import durable, load
 #: Documents whose language is undetermined or less certain than this go.
 LEAST_SCORE = 0.3
 
+STANDARD = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _guarded(stage):
+    """``stage`` with further columns renamed meanwhile, so that their names can't clash with its own."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = docs.columns
+        return stage(spark, docs.toDF(*[n if n in STANDARD else f"extra_{i}" for i, n in enumerate(names)]), sf_dir).toDF(*names)
+
+    return run
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter and those of no clear language; without labels to learn from, none."""
@@ -41,7 +53,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, *bpe.vocabulary())
 
 
-STAGES = [("language ID", language_id), ("n-gram Jaccard join", near_duplicates), ("secret scans", secret_scan), ("source mixing", mixing_stage), ("byte-level BPE", encoding)]
+STAGES = [("language ID", _guarded(language_id)), ("n-gram Jaccard join", _guarded(near_duplicates)), ("secret scans", _guarded(secret_scan)), ("source mixing", _guarded(mixing_stage)), ("byte-level BPE", encoding)]
 
 #: The first stage is a neural network, which SQL cannot express; tests compare run() with a plain version.
 ORACLE_SQL = None

@@ -121,7 +121,7 @@ def scan_secrets(docs: DataFrame, model: DataFrame | None = None, text_col: str
     """``docs`` with secret_spans, array<struct<start, kind, end>> by start and kind (index in KINDS)."""
     llr = model_literal(train(training_samples(docs.sparkSession)) if model is None else model)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    cols = [F.col(c) for c in docs.columns if not c.startswith("__") and c != "secret_spans"]
+    cols = [F.col(c) for c in docs.columns if c not in ("__a", "__k", "__h", "__m", "__base", "secret_spans")]
     found = docs.select(*cols, _found(text, ASSIGN, 2).alias("__a"), _found(text, ACCESS, 0).alias("__k"), _found(text, HEX, 0).alias("__h"), _found(text, MARKOV_RUN, 0).alias("__m"))
     spans = found.select(
         *cols,
