@@ -8,6 +8,7 @@ from importlib import import_module
 MODULES = {
     "op1_brown_scoring": "brown",
     "op2_ngram_jaccard": "jaccard",
+    "op3_token_counts": "token_counts",
     "op4_avi_media": "media",
     "op5_secret_scans": "secrets",
     "op6_byte_bpe": "bpe",
