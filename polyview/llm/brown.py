@@ -123,7 +123,7 @@ def exchange(pairs: np.ndarray, classes: int, sweeps: int = 8) -> np.ndarray:
             table[g, g] += own
             p[g] -= own
             q[g] -= own
-            rows, cols = table.sum(axis=1), table.sum(axis=0)
+            rows, cols = table.sum(axis=1) + q, table.sum(axis=0) + p  # the word is a neighbour of theirs in any class
             row = _xlogx(table + p) - _xlogx(table)
             col = _xlogx(table.T + q) - _xlogx(table.T)
             d = np.arange(k)

@@ -56,8 +56,16 @@ def test_brown_counts_and_scores(docs, rows):
     assert brown.fit_and_score(docs.limit(0), F.lit(False)).count() == 0
 
 
-def test_exchange_raises_the_likelihood():
-    rng = np.random.default_rng(0)
+def test_exchange_finds_alternating_classes():
+    rng, pairs = np.random.default_rng(0), np.zeros((9, 9))
+    pairs[:4, 4:8], pairs[4:8, :4] = rng.integers(5, 30, (4, 4)), rng.integers(5, 30, (4, 4))  # words 0-3 stand next to words 4-7 only
+    at = brown.exchange(pairs, 2)
+    assert len(set(at[:4])) == 1 and len(set(at[4:])) == 1 and at[0] != at[4]
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_exchange_ends_in_a_local_optimum(seed):
+    rng = np.random.default_rng(seed)
     pairs = rng.poisson(3, (13, 13)) * rng.integers(0, 5, (13, 13))
 
     def likelihood(at):
@@ -67,6 +75,9 @@ def test_exchange_raises_the_likelihood():
 
     at = brown.exchange(pairs, 3, sweeps=50)
     assert likelihood(at) > likelihood(np.arange(12) % 3)
+    for w in range(12):
+        for c in range(3):
+            assert likelihood([*at[:w], c, *at[w + 1 :]]) <= likelihood(at) + 1e-6
 
 
 def brute_groups(rows, n=4, percent=85):
