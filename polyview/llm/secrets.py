@@ -2,9 +2,11 @@
 
 Three patterns give base spans.  Beside them, two first-order character Markov models, one of random
 strings and one of ordinary identifiers, are trained from labelled samples; a long run of identifier
-characters is reported when the mean log-likelihood ratio of its character pairs is above a
-threshold and no base span overlaps it.  Everything is built-in expressions, so the scan is one
-projection over the documents without a shuffle.
+characters is reported when the mean log-likelihood ratio of the character pairs of the run, or of any
+long enough stretch of its parts between '=', '/', '_' and '-', reaches a threshold, the run has both a
+digit and a letter, and no base span overlaps it.  A key behind or before an ordinary name or path is
+thus judged by itself; the span is the whole run.  Everything is built-in expressions, so the scan is
+one projection over the documents without a shuffle.
 
 Edge cases: a null or empty text has no spans; texts of any length are scanned whole; offsets are
 code points, end exclusive; spans of different kinds may overlap; rows repeat as they come; an empty
@@ -25,10 +27,14 @@ ASSIGN_MIN = 6
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "markov")
-#: Least length of a run that the models judge, and the least mean log-likelihood ratio (natural log).
+#: Least length of a run, and of a stretch of its parts, that the models judge, and the least mean log-likelihood ratio (natural log).
 MARKOV_MIN = 20
 MARKOV_RUN = rf"[A-Za-z0-9+/_=-]{{{MARKOV_MIN},}}"
 MARKOV_LEAST = 0.4
+#: What parts a run.  A stretch that reaches the threshold and is not two shorter ones of the least length, of which
+#: one then reaches it too, has at most MARKOV_MIN + 1 parts, so no longer stretch need be looked at.
+MARKOV_CUT = "[=/_-]+"
+MARKOV_PARTS = MARKOV_MIN + 1
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
 #: Samples of random strings that training makes by rule.
 N_RANDOM = 4000
@@ -88,11 +94,32 @@ def model_literal(model: DataFrame) -> Column:
     return F.split(F.lit(",".join(repr(r.llr) for r in rows)), ",").cast("array<double>")
 
 
-def mean_llr(run: Column, llr: Column) -> Column:
-    """Mean log-likelihood ratio of the character pairs of ``run`` (all characters in ALPHABET, two or more)."""
+def sum_llr(run: Column, llr: Column) -> Column:
+    """Sum of the log-likelihood ratios of the character pairs of ``run`` (all characters in ALPHABET); 0 if it has no pair."""
     at = lambda i: F.instr(F.lit(ALPHABET), F.substring(run, i, F.lit(1))) - 1
     total = F.aggregate(F.sequence(F.lit(1), F.length(run) - 1), F.lit(0.0), lambda acc, i: acc + F.element_at(llr, F.greatest(at(i) * len(ALPHABET) + at(i + 1) + 1, F.lit(1)).cast("int")))
-    return total / (F.length(run) - 1)
+    return F.when(F.length(run) >= 2, total).otherwise(F.lit(0.0))
+
+
+def mean_llr(run: Column, llr: Column) -> Column:
+    """Mean log-likelihood ratio of the character pairs of ``run`` (all characters in ALPHABET, two or more)."""
+    return sum_llr(run, llr) / (F.length(run) - 1)
+
+
+def stretch_reaches(run: Column, llr: Column, least: float) -> Column:
+    """Whether neighbouring parts of ``run``, MARKOV_MIN characters or more, have a mean ratio of ``least`` or more.
+
+    The mean is the sum over the pairs inside the parts per character of theirs; the time is linear in the length of the run.
+    """
+    parts = F.transform(F.filter(F.split(run, MARKOV_CUT), lambda p: F.length(p) > 0), lambda p: F.struct(F.length(p).alias("n"), (sum_llr(p, llr) - F.length(p) * F.lit(least)).alias("extra")))
+    zero = F.struct(F.lit(-1).alias("n"), F.lit(0.0).alias("extra"), F.lit(False).alias("hit"))
+
+    def step(acc, p):
+        n, extra = acc.n + 1 + p.n, acc.extra + p.extra
+        return F.struct(n.alias("n"), extra.alias("extra"), (acc.hit | ((n >= MARKOV_MIN) & (extra >= 0))).alias("hit"))
+
+    # the one-element array is so that the parts are computed once
+    return F.exists(F.array(parts), lambda ps: (F.size(ps) > 0) & F.exists(F.sequence(F.lit(1), F.greatest(F.size(ps), F.lit(1))), lambda i: F.aggregate(F.slice(ps, i, F.lit(MARKOV_PARTS)), zero, step).hit))
 
 
 def _found(text: Column, pattern: str, group: int) -> Column:
@@ -131,7 +158,7 @@ def scan_secrets(docs: DataFrame, model: DataFrame | None = None, text_col: str
     spans = spans.select(*cols, F.concat("__a", "__k", "__h").alias("__base"), "__m")
     mixed = lambda s: F.regexp_like(s.part, F.lit("[0-9]")) & F.regexp_like(s.part, F.lit("[A-Za-z]"))
     free = lambda s: ~F.exists(F.col("__base"), lambda b: (b.start < s.end) & (s.start < b.end))
-    extra = F.filter(F.col("__m"), lambda s: mixed(s) & free(s) & (mean_llr(s.part, llr) >= least))
+    extra = F.filter(F.col("__m"), lambda s: mixed(s) & free(s) & ((mean_llr(s.part, llr) >= least) | stretch_reaches(s.part, llr, least)))
     every = F.array_sort(F.concat("__base", F.when(F.size("__m") > 0, extra).otherwise(F.array().cast(_SPANS))))
     return spans.select(*cols, F.transform(every, lambda s: F.struct(s.start.alias("start"), s.kind.alias("kind"), s.end.alias("end"))).alias("secret_spans"))
 

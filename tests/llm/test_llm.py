@@ -193,6 +193,18 @@ def test_secret_spans(spark, docs, rows):
     assert secrets.scan_secrets(docs.limit(0)).count() == 0
 
 
+def test_secret_keys_glued_to_names(spark):
+    rng = random.Random(4)
+    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    forms = ["{}", "my_service_account_key={}", "config/production/service/account/{}", "aws_secret_access_key={}", "{}/production-service-account", "my-production-service-{}-backup-folder"]
+    rows = [(f, f.format("".join(rng.choice(alnum) for _ in range(24)))) for f in forms for _ in range(200)]
+    rows += [("example", "aws_secret_access_key=wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"), ("none", "=/_-" * 8), ("none", "a-1/" * 3000), ("none", "backup/network/certificate/customer/v2"), ("none", "employee_salary_report_v12_final_version")]
+    found, size = Counter(), Counter(f for f, _ in rows)
+    for r in secrets.scan_secrets(spark.createDataFrame(rows, "form string, text string")).collect():
+        found[r.form] += [tuple(s) for s in r.secret_spans] == [(0, 3, len(r.text))]
+    assert all(found[f] >= 0.95 * size[f] for f in [*forms, "example"]) and not found["none"]
+
+
 def test_bpe_round_trip(docs, rows):
     import tiktoken
 
