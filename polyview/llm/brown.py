@@ -5,12 +5,15 @@ by hash, and a stream of word numbers.  Counts of a word meet in its bucket, one
 commonest word is no hotter than any other.
 
 1. Counts of all training words by bucket.
-2. The exchange algorithm proper runs on the words that have at least one in ``core`` of all training
-   tokens.  There are at most ``core`` of them whatever the input, so their bigram table has a proven
-   bound and fits the driver; all other words stand in it as one more context class.
-3. One more exchange sweep, distributed: every remaining word goes to the class that its neighbours'
-   classes make most likely (the same likelihood, classes of the core held fixed).
-4. Class transitions are counted over all training text, all words having classes now.
+2. To start with, the exchange algorithm runs on the ``core`` commonest words, whose bigram table fits
+   the driver; all other words stand in it as one more context class.  Every other word then goes to the
+   class that its core neighbours make most likely.
+3. Exchange sweeps over all words, distributed: each word, core or not, is taken out and put into the
+   class that makes the training text most likely, all words' current classes being its contexts.  The
+   words of a sweep, one in PARTS by turns, move at once against the class bigrams before it; a sweep
+   that lowers the likelihood is taken back, and half as many words move from then on.  Sweeps end when
+   the words that move in a whole round have less than ``few`` of all tokens, or after ``passes`` sweeps.
+4. Class transitions are counted over all training text.
 5. Scores.  p(w | v) = mix * p(class w | class v) * p(w | class w) + (1 - mix) * unigram.  Emissions are
    add-one with one unknown word per class; transitions are smoothed with the class unigram; an unknown
    word is a context of its own with the class unigram as its row.  Each p(. | v) sums to one over the
@@ -21,6 +24,7 @@ counts as an empty one; without training text all words are unknown; an empty ta
 columns other than id and text are not looked at.
 """
 
+import logging
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,6 +38,8 @@ from pyspark.sql import types as T
 from .bpe import by_number, chunked, lay_out, pack_numbers, unpack_numbers, unpack_words
 from .common import crc_mod, durable, load, partitions, words_of
 
+log = logging.getLogger(__name__)
+
 #: The end token; no word is empty.
 END = b""
 #: Bytes of text in a chunk; bounds the memory of a task.
@@ -89,7 +95,6 @@ def count_words(chunks: DataFrame, core: int) -> DataFrame:
                     if c:
                         total[w] += c
         n = sum(total.values())
-        # At most ``core`` words can have one in ``core`` of all tokens.
         some = sorted(total.items(), key=lambda x: (-x[1], x[0]))[:core]
         yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([n], pa.int64()), pa.array([len(total)], pa.int64()), pa.array([[{"word": w, "n": c} for w, c in some]], pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))], ["bucket", "n_tokens", "n_words", "counts"])
 
@@ -192,7 +197,7 @@ def core_pairs(chunks: DataFrame, core: dict[bytes, int], end: int, buckets: int
 
 
 def assign(chunks: DataFrame, spec: Spec, core_class: np.ndarray, buckets: int) -> DataFrame:
-    """(bucket, chunk, info): class * 2 + 1 (0: unknown) and training count of the words a chunk has in a bucket; chunk -1 has the bucket's sums by class."""
+    """(bucket, chunk, info): class * 2 + 1 (0: unknown), training count and number in the bucket of the words a chunk has in a bucket; chunk -1 has the bucket's sums by class and, in place of what a sweep moved, zeros."""
     k = spec.classes
     width = 2 * (k + 1)
     shared = chunks.sparkSession.sparkContext.broadcast((spec, core_class))
@@ -254,9 +259,9 @@ def assign(chunks: DataFrame, spec: Spec, core_class: np.ndarray, buckets: int)
             dense = np.bincount((who[i:j] - a) * width + code[i:j], n[i:j], size * width).reshape(size, width)
             best[a : a + size] = (dense @ s.place).argmax(axis=1)
         best = np.where(known >= 0, cls[known], best)
-        sums = np.stack([np.bincount(best, total * (total > 0), k), np.bincount(best, (total > 0) * 1.0, k)]).astype(np.int64)
+        sums = np.stack([np.bincount(best, total * (total > 0), k), np.bincount(best, (total > 0) * 1.0, k), np.zeros(k)]).astype(np.int64)
         info = np.where(total > 0, best * 2 + 1, 0)
-        out = [(-1, sums.astype("<i8").tobytes())] + [(chunk, pack_numbers(np.concatenate([info[ids], np.minimum(total[ids], 2**32 - 1)]))) for chunk, ids, _ in seen]
+        out = [(-1, sums.astype("<i8").tobytes())] + [(chunk, pack_numbers(np.concatenate([info[ids], np.minimum(total[ids], 2**32 - 1), ids]))) for chunk, ids, _ in seen]
         for chunk, data in out:
             yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([chunk], pa.int64()), pa.array([data], pa.binary())], ["bucket", "chunk", "info"])
 
@@ -264,11 +269,155 @@ def assign(chunks: DataFrame, spec: Spec, core_class: np.ndarray, buckets: int)
     return durable(made.groupBy("bucket").applyInArrow(place, "bucket int, chunk bigint, info binary"))
 
 
+def contexts(body: DataFrame, info: DataFrame, k: int, buckets: int) -> DataFrame:
+    """(bucket, chunk, info, profile): for the words a chunk has in a bucket, how often each class stands after and before them and they after themselves; bucket -1 has the chunk's class bigrams."""
+    width = 2 * k + 1
+    names = ["bucket", "chunk", "info", "profile"]
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if _empty(left):
+            return pa.table([pa.array([], t) for t in (pa.int32(), pa.int64(), pa.binary(), pa.binary())], names=names)
+        own = [data for _, data in sorted(zip(right.column("bucket").to_pylist(), right.column("info").to_pylist(), strict=True))]
+        parts = [unpack_numbers(data).reshape(3, -1) for data in own]
+        ends = np.cumsum([0, *(part.shape[1] for part in parts)])
+        cls = np.concatenate([part[0] for part in parts]).astype(np.int64) // 2
+        at = by_number(left.column("classes")[0].as_py(), buckets)
+        keep = np.repeat(~np.array(left.column("held")[0].as_py(), bool), left.column("lengths")[0].as_py())
+        b = np.asarray(at)[unpack_numbers(left.column("stream")[0].as_py())[keep]].astype(np.int64)
+        a = np.concatenate([b[-1:], b[:-1]])  # the last token is an end token, and one stands before the first word
+        keys, n = np.unique(np.concatenate([a * width + cls[b], b * width + k + cls[a], a[a == b] * width + 2 * k]), return_counts=True)
+        word, code = keys // width, keys % width
+        cuts = np.searchsorted(word, ends)
+        rows = [pack_numbers(np.concatenate([np.bincount(word[i:j] - e, minlength=f - e), code[i:j], n[i:j]])) for i, j, e, f in zip(cuts[:-1], cuts[1:], ends[:-1], ends[1:], strict=True)]
+        table = np.bincount(cls[a] * k + cls[b], minlength=k * k).astype("<i8").tobytes()
+        chunk = left.column("chunk")[0].as_py()
+        return pa.table([pa.array([*range(len(own)), -1], pa.int32()), pa.array([chunk] * (len(own) + 1), pa.int64()), pa.array([*own, b""], pa.binary()), pa.array([*rows, table], pa.binary())], names=names)
+
+    return body.groupBy("chunk").cogroup(info.groupBy("chunk")).applyInArrow(run, "bucket int, chunk bigint, info binary, profile binary")
+
+
+def gains(table: np.ndarray, at: np.ndarray, after: np.ndarray, before: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """(words, classes): what each word, taken out of its class ``at``, adds to the likelihood in each class; as in ``exchange``, many words against one table."""
+    m, k = after.shape
+    each = np.arange(m)
+    is_own = at[:, None] == np.arange(k)
+    total = np.zeros((m, k))
+    diagonal = np.zeros((m, k))
+    for side, raw, other in ((table, after, before), (table.T, before, after)):
+        p = raw - is_own * own[:, None]
+        w, d = np.nonzero(p)  # a class that is no neighbour adds nothing
+        if len(w):
+            base = side[:, d].T.copy()
+            base[np.arange(len(w)), at[w]] -= raw[w, d]
+            same = np.flatnonzero(d == at[w])
+            base[same] -= other[w[same]]
+            base[same, at[w[same]]] += own[w[same]]
+            gain = _xlogx(base + p[w, d][:, None]) - _xlogx(base)
+            gain[np.arange(len(w)), d] = 0
+            first = np.flatnonzero(np.diff(w, prepend=-1))
+            total[w[first]] += np.add.reduceat(gain, first)
+        diagonal += p
+        size = raw.sum(axis=1, keepdims=True)
+        rest = side.sum(axis=1) - is_own * size
+        total -= _xlogx(rest + size) - _xlogx(rest)
+    here = np.tile(np.diag(table), (m, 1))
+    here[each, at] -= after[each, at] + before[each, at] - own
+    return total + _xlogx(here + diagonal + own[:, None]) - _xlogx(here)
+
+
+def likelihood(table: np.ndarray) -> float:
+    """The part of the training log-likelihood that the classes decide."""
+    return float(_xlogx(table).sum() - _xlogx(table.sum(axis=0)).sum() - _xlogx(table.sum(axis=1)).sum())
+
+
+def move_all(made: DataFrame, table: np.ndarray, turn: int = 0, parts: int = 1) -> DataFrame:
+    """One sweep: ``contexts`` to (bucket, chunk, info) as of ``assign``; chunk -1 ends with the words that moved and their tokens."""
+    k = len(table)
+    width = 2 * k + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, sparse, bucket, size = [], [], None, 0
+        for b in batches:
+            for bucket, chunk, info, profile in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                kind, n, ids = unpack_numbers(info).reshape(3, -1).astype(np.int64)
+                raw = unpack_numbers(profile).astype(np.int64)
+                code, count = raw[len(ids) :].reshape(2, -1)
+                sparse.append((np.repeat(ids, raw[: len(ids)]) * width + code, count))
+                seen.append((chunk, kind, n, ids))
+                size = max(size, int(ids.max(initial=-1)) + 1)
+        kind, total = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        for _, x, n, ids in seen:
+            kind[ids], total[ids] = x, n
+        keys, inv = np.unique(np.concatenate([x for x, _ in sparse]), return_inverse=True)
+        count = np.bincount(inv, np.concatenate([n for _, n in sparse]), len(keys))
+        at = kind // 2
+        best = at.copy()
+        for a in range(0, size, 1 << 12):
+            z = min(a + (1 << 12), size)
+            i, j = np.searchsorted(keys, [a * width, z * width])
+            dense = np.bincount(keys[i:j] - a * width, count[i:j], (z - a) * width).reshape(z - a, width)
+            gain = gains(table, at[a:z], dense[:, :k], dense[:, k : 2 * k], dense[:, 2 * k])
+            stay = gain[np.arange(z - a), at[a:z]]
+            best[a:z] = np.where(gain.max(axis=1) > stay + 1e-9, gain.argmax(axis=1), at[a:z])
+        best = np.where(np.arange(size) % parts == turn % parts, best, at)
+        moved = (best != at) & (kind > 0)
+        sums = np.zeros((3, k), np.int64)
+        sums[0], sums[1] = np.bincount(best, total, k), np.bincount(best, total > 0, k)
+        sums[2, :2] = moved.sum(), total[moved].sum()
+        info = np.where(kind > 0, best * 2 + 1, 0)
+        out = [(-1, sums.astype("<i8").tobytes())] + [(chunk, pack_numbers(np.concatenate([info[ids], n, ids]))) for chunk, _, n, ids in seen]
+        for chunk, data in out:
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([chunk], pa.int64()), pa.array([data], pa.binary())], ["bucket", "chunk", "info"])
+
+    return durable(made.groupBy("bucket").applyInArrow(run, "bucket int, chunk bigint, info binary"))
+
+
+def _sums(info: DataFrame, k: int) -> np.ndarray:
+    """(3, k): tokens and words of each class; the words that moved and their tokens."""
+    return sum((np.frombuffer(bytes(r[0]), "<i8").reshape(3, k) for r in info.where("chunk = -1").select("info").toLocalIterator()), np.zeros((3, k), np.int64))
+
+
+def _drop(made: DataFrame) -> None:
+    """Delete what ``durable`` wrote, and let Spark's cleaner delete the shuffles of queries that are done, so that sweeps don't add up on disk."""
+    jvm = made.sparkSession._jvm
+    path = jvm.org.apache.hadoop.fs.Path(made.inputFiles()[0]).getParent()
+    path.getFileSystem(made.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    jvm.java.lang.System.gc()
+
+
+#: One word in so many moves in a sweep, to begin with.
+PARTS = 2
+
+
+def sweep_all(body: DataFrame, info: DataFrame, k: int, n: int, buckets: int, passes: int, few: float) -> DataFrame:
+    """Exchange sweeps over all words from the clustering ``info``; see the module's text."""
+    last, parts, settled = None, PARTS, 0
+    for i in range(passes + 1):
+        made = durable(contexts(body, info.where("chunk >= 0"), k, buckets), "uncompressed")
+        table = sum((np.frombuffer(bytes(r[0]), "<i8").reshape(k, k) for r in made.where("bucket < 0").select("profile").toLocalIterator()), np.zeros((k, k), np.int64)).astype(np.float64)
+        now = likelihood(table)
+        log.info("sweep %d: likelihood %.8g", i, now)
+        if last:
+            _drop(made if now < last[0] else last[2])
+        if last and now < last[0]:
+            now, info, made, table = last
+            parts *= 2
+        if i == passes or settled >= parts:
+            _drop(made)
+            break
+        last = now, info, made, table
+        info = move_all(made.where("bucket >= 0"), table, i, parts)
+        moved = _sums(info, k)[2]
+        log.info("sweep %d: %d words moved, %d of %d tokens, one in %d", i + 1, moved[0], moved[1], n, parts)
+        settled = settled + 1 if moved[1] * parts < few * n else 0
+    return info
+
+
 def _classes_of(left: pa.Table, right: pa.Table, buckets: int):
     """Class (-1: unknown) and training count of each token of a chunk."""
-    parts = [unpack_numbers(t).reshape(2, -1) for _, t in sorted(zip(right.column("bucket").to_pylist(), right.column("info").to_pylist(), strict=True))]
+    parts = [unpack_numbers(t).reshape(3, -1) for _, t in sorted(zip(right.column("bucket").to_pylist(), right.column("info").to_pylist(), strict=True))]
     at = by_number(left.column("classes")[0].as_py(), buckets)
-    info, count = np.concatenate(parts, axis=1).astype(np.int64)[:, at]
+    info, count, _ = np.concatenate(parts, axis=1).astype(np.int64)[:, at]
     x = unpack_numbers(left.column("stream")[0].as_py())
     return np.where(info > 0, info // 2, -1)[x], count[x].astype(np.float64)
 
@@ -277,7 +426,7 @@ def _empty(left: pa.Table) -> bool:
     return left.num_rows == 0
 
 
-def fit_and_score(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text", classes: int = 32, core: int = 2000, mix: float = 0.95, sweeps: int = 8, chunk_bytes: int = CHUNK) -> DataFrame:
+def fit_and_score(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text", classes: int = 32, core: int = 2000, mix: float = 0.95, sweeps: int = 8, passes: int = 20, few: float = 0.05, chunk_bytes: int = CHUNK) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity): learn where ``held`` is false, score all."""
     spark = docs.sparkSession
     buckets = max(16, partitions(spark))
@@ -286,7 +435,7 @@ def fit_and_score(docs: DataFrame, held: Column, id_col: str = "doc_id", text_co
     vocabulary = durable(count_words(chunks, core))
     n, v = vocabulary.agg(F.sum("n_tokens"), F.sum("n_words")).first()
     n, v = n or 0, v or 0
-    top = vocabulary.select(F.explode(F.filter("counts", lambda c: c.n * core >= n)).alias("c")).select("c.*").toArrow().to_pylist()
+    top = vocabulary.select(F.explode("counts").alias("c")).select("c.*").orderBy(F.desc("n"), "word").limit(core).toArrow().to_pylist()
     words = [r["word"] for r in sorted(top, key=lambda r: (-r["n"], r["word"]))]
     spec = Spec(n, v, k, {w: i for i, w in enumerate(words)})
     m = len(words)
@@ -301,11 +450,9 @@ def fit_and_score(docs: DataFrame, held: Column, id_col: str = "doc_id", text_co
     spec.place = np.concatenate([pmi[:, :k], pmi[:k].T])
     cls = np.concatenate([cls, [0]])  # so that an index of -1 is one
     info = assign(chunks, spec, cls, buckets)
-    sums = np.zeros((2, k), np.int64)
-    for r in info.where("chunk = -1").select("info").toLocalIterator():
-        sums += np.frombuffer(bytes(r[0]), "<i8").reshape(2, k)
-    spec.sums = sums.T
     body = chunks.select("chunk", "ids", "held", "lengths", "stream", "classes")
+    info = sweep_all(body.drop("ids"), info, k, n, buckets, passes, few) if n else info
+    spec.sums = _sums(info, k)[:2].T
     info = info.where("chunk >= 0")
 
     def transitions(left: pa.Table, right: pa.Table) -> pa.Table:

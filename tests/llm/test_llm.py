@@ -80,6 +80,25 @@ def test_exchange_ends_in_a_local_optimum(seed):
             assert likelihood([*at[:w], c, *at[w + 1 :]]) <= likelihood(at) + 1e-6
 
 
+def test_gains_of_all_words_against_brute_force():
+    rng = np.random.default_rng(3)
+    pairs, at = rng.poisson(0.4, (30, 30)).astype(float), rng.integers(0, 4, 30)
+    table = lambda at: np.eye(4)[at].T @ pairs @ np.eye(4)[at]
+    got = brown.gains(table(at), at, pairs @ np.eye(4)[at], pairs.T @ np.eye(4)[at], np.diag(pairs))
+    now = brown.likelihood(table(at))
+    for w in range(30):
+        want = [brown.likelihood(table(np.array([*at[:w], c, *at[w + 1 :]]))) - now for c in range(4)]
+        assert np.allclose(got[w] - got[w, at[w]], want)
+
+
+def test_words_outside_the_core_are_exchanged_too(spark):
+    rng = random.Random(8)
+    text = lambda: " ".join(f"{'ab'[i % 2]}{rng.randrange(50)}" for i in range(200))
+    df = spark.createDataFrame([(i, text()) for i in range(60)], "doc_id long, text string")
+    got = brown.fit_and_score(df, F.col("doc_id") % 4 == 0, classes=4, core=2).where("held_out").collect()
+    assert np.mean([r.perplexity for r in got]) < 65  # 50 words may follow; with one class for all, 100 may
+
+
 def brute_groups(rows, n=4, percent=85):
     sets = []
     for r in rows:
