@@ -206,18 +206,18 @@ for _name, _make in {
     "mcca_scores": lambda mv: embed.MCCA(3, regs="lw").fit_transform(mv),
     "imcca_scores": lambda mv: embed.MCCA(2, signal_ranks=[8, 8]).fit_transform(mv),
     "gcca_scores": lambda mv: embed.GCCA(n_components=4).fit_transform(mv),
-    "kmcca_scores": lambda mv: embed.KMCCA(2, kernel="rbf", regs=0.5, tol=0.5, max_rank=60).fit_transform(mv),
+    "kmcca_scores": lambda mv: embed.KMCCA(2, kernel="rbf", regs=0.5).fit_transform(mv),
     "mvmds_scores": lambda mv: embed.MVMDS(2).fit_transform(mv),
     "group_pca": lambda mv: decomposition.GroupPCA(4).fit_transform(mv),
-    "group_ica": lambda mv: decomposition.GroupICA(3, max_iter=15).fit_transform(mv),
-    "multiview_ica": lambda mv: decomposition.MultiviewICA(3, max_iter=5).fit_transform(mv),
+    "group_ica": lambda mv: decomposition.GroupICA(3).fit_transform(mv),
+    "multiview_ica": lambda mv: decomposition.MultiviewICA(3).fit_transform(mv),
     "ajive": lambda mv: decomposition.AJIVE(init_signal_ranks=[4, 4], joint_rank=1, random_state=0).fit_transform(mv),
-    "kmeans_fit": lambda mv: cluster.MultiviewKMeans(4, random_state=0, n_init=1, max_iter=10).fit_predict(mv),
-    "spherical_kmeans_fit": lambda mv: cluster.MultiviewSphericalKMeans(4, random_state=0, n_init=1, max_iter=10).fit_predict(mv),
-    "spectral": lambda mv: cluster.MultiviewSpectralClustering(4, random_state=0, max_iter=2).fit_predict(mv),
-    "coreg_spectral": lambda mv: cluster.MultiviewCoRegSpectralClustering(4, random_state=0, max_iter=3).fit_predict(mv),
-    "deep_cca": lambda mv: deep.DCCA(2, [16, 2], [16, 2], epoch_num=2, batch_size=200).fit_transform(mv),
-    "split_autoencoder": lambda mv: deep.SplitAE(16, 1, 4, training_epochs=1, batch_size=64).fit_transform(mv),
+    "kmeans_fit": lambda mv: cluster.MultiviewKMeans(4, random_state=0).fit_predict(mv),
+    "spherical_kmeans_fit": lambda mv: cluster.MultiviewSphericalKMeans(4, random_state=0).fit_predict(mv),
+    "spectral": lambda mv: cluster.MultiviewSpectralClustering(4, random_state=0).fit_predict(mv),
+    "coreg_spectral": lambda mv: cluster.MultiviewCoRegSpectralClustering(4, random_state=0).fit_predict(mv),
+    "deep_cca": lambda mv: deep.DCCA(2, [16, 2], [16, 2], batch_size=200).fit_transform(mv),
+    "split_autoencoder": lambda mv: deep.SplitAE(16, 1, 4, batch_size=64).fit_transform(mv),
     "quick_visualize": lambda mv: selection.quick_table(mv),
 }.items():
     QUERIES[_name] = lambda s, d, make=_make: rounded(make(vectors(s, d)))
@@ -229,8 +229,8 @@ def half_labelled(s, d):
     return MultiviewFrame(mv.df.withColumn("y", y), mv.key, mv.views, "y", mv.dims)
 
 
-QUERIES["cotraining_classifier"] = lambda s, d: semi.CTClassifier(num_iter=10).fit_predict(half_labelled(s, d))
-QUERIES["cotraining_regressor"] = lambda s, d: semi.CTRegressor(num_iter=3, unlabeled_pool_size=20).fit_predict(half_labelled(s, d))
+QUERIES["cotraining_classifier"] = lambda s, d: semi.CTClassifier().fit_predict(half_labelled(s, d))
+QUERIES["cotraining_regressor"] = lambda s, d: semi.CTRegressor().fit_predict(half_labelled(s, d))
 QUERIES["gaussian_mixture"] = lambda s, d: long(datasets.make_gaussian_mixture(s, 1000, [[0, 0], [4, 4]], np.eye(2), "sin", noise=0.1, noise_dims=1))
 QUERIES["joint_factor_model"] = lambda s, d: long(datasets.sample_joint_factor_model(s, 500, [6, 4], 2))
 QUERIES["train_test_rows"] = lambda s, d: selection.train_test_split(vectors(s, d))[1].df.select("sample_id")

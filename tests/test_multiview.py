@@ -251,3 +251,23 @@ def test_streaming(spark, data, tmp_path):
     for k in range(3):
         run.update(mv.df.where(F.col("sample_id") % 3 == k))
     assert np.allclose(run.gram.scatter, gram(mv).scatter)
+
+
+@pytest.mark.parametrize("name", ["group_ica", "multiview_ica", "kmeans_fit", "spherical_kmeans_fit", "spectral", "coreg_spectral", "deep_cca", "split_autoencoder", "cotraining_classifier", "cotraining_regressor", "kmcca_scores"])
+def test_registered_estimators_run_the_whole_job(monkeypatch, name):
+    from polyview import queries as q
+
+    class Made(Exception):
+        pass
+
+    def init(self, *args, **given):
+        raise Made(set(given))
+
+    classes = [q.decomposition.GroupICA, q.decomposition.MultiviewICA, q.cluster.MultiviewKMeans, q.cluster.MultiviewSphericalKMeans, q.cluster.MultiviewSpectralClustering, q.cluster.MultiviewCoRegSpectralClustering, q.deep.DCCA, q.deep.SplitAE, q.semi.CTClassifier, q.semi.CTRegressor, q.embed.KMCCA]
+    for c in classes:
+        monkeypatch.setattr(c, "__init__", init)
+    monkeypatch.setattr(q, "vectors", lambda s, d: None)
+    monkeypatch.setattr(q, "half_labelled", lambda s, d: None)
+    with pytest.raises(Made) as made:
+        q.QUERIES[name](None, None)
+    assert not made.value.args[0] & {"max_iter", "n_init", "num_iter", "epoch_num", "training_epochs", "unlabeled_pool_size", "tol", "max_rank", "patience"}
