@@ -72,6 +72,15 @@ def unpack_numbers(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(unpack(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
+def pack_longs(x: np.ndarray) -> bytes:
+    """As ``pack_numbers``, 64-bit."""
+    return pack(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def unpack_longs(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(unpack(data), np.uint8).reshape(8, -1).T).view("<u8").ravel().astype(np.int64)
+
+
 def pack_words(words: list[bytes]) -> bytes:
     """Front coding: how much each word shares with the one before (255 bytes at most), how long the rest is, and the rests."""
     shared, rests, last = [], [], b""
@@ -116,11 +125,11 @@ def chunked(batches, text_at: int = 1, limit: int = CHUNK):
         yield held
 
 
-def lay_out(words: list[bytes], local: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+def lay_out(words: list[bytes], local: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, list[bytes | None], np.ndarray]:
     """Number a chunk's words anew.
 
     place: the number of each word; order: the words as the buckets list them; lists: packed words of
-    each bucket; classes: how many words each (bucket, class) has.  See explode_pretokens.
+    each bucket, None for none; classes: how many words each (bucket, class) has.  See explode_pretokens.
     """
     n = len(words)
     was = np.array(sorted(range(n), key=words.__getitem__), np.int64)
@@ -131,7 +140,7 @@ def lay_out(words: list[bytes], local: np.ndarray, buckets: int) -> tuple[np.nda
     by_bucket = np.lexsort((-cls, bucket))
     order = was[by_bucket]
     ends = np.searchsorted(bucket[by_bucket], np.arange(buckets + 1))
-    lists = [pack_words([words[i] for i in order[a:b].tolist()]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    lists = [pack_words([words[i] for i in order[a:b].tolist()]) if b > a else None for a, b in zip(ends[:-1], ends[1:], strict=True)]
     return place, order, lists, np.bincount(bucket * 32 + (31 - cls), minlength=buckets * 32)
 
 
@@ -176,7 +185,7 @@ def explode_pretokens(docs: DataFrame, pattern: str, id_col: str, text_col: str,
 
 def encode_words(lists: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """(bucket, chunk, words) -> (bucket, chunk, tokens): ids of each listed word; every distinct word of a bucket is encoded once."""
-    name = hashlib.sha256(repr(sorted(ranks.items())[:1000]).encode()).hexdigest() + str(len(ranks))
+    name = hashlib.sha256(repr(sorted(ranks.items())).encode()).hexdigest()
     shared = lists.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +224,7 @@ def _assemble(docs, ranks, pattern, id_col, text_col, chunk_bytes, field, make):
     spark = docs.sparkSession
     buckets = max(16, partitions(spark))
     chunks = durable(explode_pretokens(docs, pattern, id_col, text_col, buckets, chunk_bytes), "uncompressed")
-    lists = chunks.select(F.posexplode("words").alias("bucket", "words"), "chunk").select("bucket", "chunk", "words")
+    lists = chunks.select(F.posexplode("words").alias("bucket", "words"), "chunk").where("words IS NOT NULL").select("bucket", "chunk", "words")
     back = encode_words(lists, ranks)
     id_type = docs.schema[id_col].dataType
     fields = field if isinstance(field, list) else [field]
@@ -226,7 +235,7 @@ def _assemble(docs, ranks, pattern, id_col, text_col, chunk_bytes, field, make):
         ids = left.column("ids").combine_chunks()
         if not len(ids):
             return pa.table([pa.array([], type=f) for f in _arrow(schema)], names=schema.names)
-        parts = [unpack_numbers(t) for _, t in sorted(zip(right.column("bucket").to_pylist(), right.column("tokens").to_pylist(), strict=True))]
+        parts = [np.zeros(1, np.uint32), *(unpack_numbers(t) for _, t in sorted(zip(right.column("bucket").to_pylist(), right.column("tokens").to_pylist(), strict=True)))]
         sizes = np.concatenate([p[1 : 1 + p[0]] for p in parts]).astype(np.int64)
         flat = np.concatenate([p[1 + p[0] :] for p in parts])
         starts = np.cumsum(sizes) - sizes

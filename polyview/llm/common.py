@@ -6,6 +6,9 @@ import re
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,10 +20,14 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder under the one that driver and executors share (spark.checkpoint.dir).
 
-    Where the setting is absent, as in tests on one machine, a temporary folder is used.
+    Where the setting is absent a temporary folder is used if all of Spark runs in this process, as in
+    tests; on a cluster, whose executors would not see that folder, this raises.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not re.match(r"local($|\[)", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that driver and executors share (master {master})")
         root = tempfile.mkdtemp(prefix="polyview-")
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
@@ -48,6 +55,20 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+def tokenise(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Number of each word, words per text, and the distinct words (strings, A-Z lower-cased) of a column of texts.
+
+    ASCII white space is \\x20 \\x09-\\x0D, as in ``WORD``; a null text has no word.
+    """
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column, "")))
+    flat = lists.flatten()
+    full = pc.not_equal(flat, "")
+    owner = np.repeat(np.arange(len(column)), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
+    lengths = np.bincount(owner[full.to_numpy(zero_copy_only=False)], minlength=len(column))
+    coded = flat.filter(full).dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), lengths, coded.dictionary
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

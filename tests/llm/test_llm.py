@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from polyview.llm import avi, bpe, brown, components, jaccard, jpeg, langid, media, mixing, multi_index, repeats, secrets, suffix_sort
+from polyview.llm import avi, bpe, brown, common, components, jaccard, jpeg, langid, media, mixing, multi_index, repeats, secrets, suffix_sort
 from polyview.llm.common import crc_mod
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -43,7 +43,7 @@ def docs(spark, rows):
 
 
 def test_brown_counts_and_scores(docs, rows):
-    got = brown.fit_and_score(docs, crc_mod(F.col("doc_id"), 7) == 2, chunk_bytes=500, classes=4).collect()
+    got = brown.fit_and_score(docs, crc_mod(F.col("doc_id"), 7) == 2, chunk_bytes=500, classes=4, passes=2).collect()
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
     c = Counter(w for r in rows if not held(r[0]) for w in [*words(r[1]), ""])
     n, v = sum(c.values()), len(c)
@@ -52,8 +52,41 @@ def test_brown_counts_and_scores(docs, rows):
         t = [*words(r[1]), ""]
         want[r[0], held(r[0]), len(t), sum(c[w] > 0 for w in t), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t), 6)] += 1
     assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
-    assert all(r.score < 0 for r in got)
     assert brown.fit_and_score(docs.limit(0), F.lit(False)).count() == 0
+    unknown = brown.fit_and_score(docs, F.lit(True)).collect()
+    assert len(unknown) == len(rows) and all(r.n_known == r.train_tokens == r.score == 0 for r in unknown)
+
+
+def test_brown_scores_against_brute_force(docs, rows):
+    """Scores from the learned classes by plain counting, and probabilities that sum to one."""
+    k, mix = 5, 0.95
+    model = brown.fit(docs, F.col("doc_id") % 3 == 1, classes=k, core=6, chunk_bytes=900, passes=4)
+    held = lambda i: i is not None and i % 3 == 1
+    texts = [[*words(r[1]), ""] for r in rows]
+    count = Counter(w for r, t in zip(rows, texts, strict=True) if not held(r[0]) for w in t)
+    found = {bytes(r["word"]).decode(): (r["class"], r["n"]) for r in brown.word_classes(model).collect()}
+    assert {w: n for w, (_, n) in found.items()} == dict(count)
+    cls = {w: c for w, (c, _) in found.items()}
+    tokens, vocabulary, pairs = Counter(), Counter(cls.values()), Counter()
+    for r, t in zip(rows, texts, strict=True):
+        if not held(r[0]):
+            pairs.update((cls[v], cls[w]) for v, w in zip(["", *t], t, strict=False))
+    for w, n in count.items():
+        tokens[cls[w]] += n
+    n, size = sum(count.values()), len(count)
+    prior = [(tokens[c] + 1) / (n + k) for c in range(k)]
+    after = [sum(pairs[c, d] for d in range(k)) for c in range(k)]
+
+    def probability(v, w):
+        move = lambda d: (pairs[cls[v], d] + prior[d]) / (after[cls[v]] + 1) if v in cls else prior[d]
+        slots = lambda d: tokens[d] + vocabulary[d] + 1
+        p = move(cls[w]) * (count[w] + 1) / slots(cls[w]) if w in cls else sum(move(d) / slots(d) for d in range(k))
+        return mix * p + (1 - mix) * (count[w] + 1) / (n + size + 1)
+
+    for v in ["", "a", "never seen", *list(cls)[:3]]:
+        assert np.isclose(sum(probability(v, w) for w in [*cls, "never seen"]), 1)
+    want = Counter((r[0], round(sum(math.log10(probability(v, w)) for v, w in zip(["", *t], t, strict=False)), 6)) for r, t in zip(rows, texts, strict=True))
+    assert Counter((r.doc_id, round(r.score, 6)) for r in brown.score(model).collect()) == want
 
 
 def test_exchange_finds_alternating_classes():
@@ -84,18 +117,54 @@ def test_gains_of_all_words_against_brute_force():
     rng = np.random.default_rng(3)
     pairs, at = rng.poisson(0.4, (30, 30)).astype(float), rng.integers(0, 4, 30)
     table = lambda at: np.eye(4)[at].T @ pairs @ np.eye(4)[at]
-    got = brown.gains(table(at), at, pairs @ np.eye(4)[at], pairs.T @ np.eye(4)[at], np.diag(pairs))
+    sides = pairs @ np.eye(4)[at], pairs.T @ np.eye(4)[at], np.diag(pairs)
+    got = brown.Gains(table(at)).exact(at, *sides)
     now = brown.likelihood(table(at))
     for w in range(30):
         want = [brown.likelihood(table(np.array([*at[:w], c, *at[w + 1 :]]))) - now for c in range(4)]
         assert np.allclose(got[w] - got[w, at[w]], want)
 
 
+def test_gains_of_rare_words_and_large_counts():
+    rng = np.random.default_rng(4)
+    pairs = rng.poisson(20000, (12, 12)).astype(float)
+    pairs[8:] = pairs[:, 8:] = 0
+    pairs[8, :4], pairs[:4, 8], pairs[9, 2], pairs[5, 9] = [1, 0, 2, 1], [2, 1, 1, 0], 1, 1  # two rare words among common ones
+    at = np.arange(12) % 4
+    member = np.eye(4, dtype=int)[at]
+    gains = brown.Gains(member.T @ pairs @ member)
+    sides = (pairs @ member).astype(int), (pairs.T @ member).astype(int), np.diag(pairs).astype(int)
+    exact = gains.exact(at, *sides)
+    rare = gains.rare(at[8:10], *(x[8:10] for x in sides))
+    change = lambda g, at: g - g[np.arange(len(g)), at][:, None]
+    assert np.allclose(change(rare, at[8:10]), change(exact[8:10], at[8:10]), atol=0.01)
+    assert gains.once()[at[9], at[2], at[5]] == (exact[9].argmax() if exact[9].max() > exact[9, at[9]] else at[9])
+    for w in range(8):
+        for c in range(4):
+            moved = np.eye(4)[[*at[:w], c, *at[w + 1 :]]]
+            want = brown.likelihood(moved.T @ pairs @ moved) - brown.likelihood(gains.table)
+            assert np.isclose(change(exact, at)[w, c], want, rtol=1e-4, atol=0.1)
+
+
+def test_frequent_counts_are_not_clipped():
+    big = np.array([3, 2**40 + 7, 0])
+    assert bpe.unpack_longs(bpe.pack_longs(big)).tolist() == big.tolist()
+
+
+def test_shared_folder_on_a_cluster():
+    class Session:
+        conf = {}
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session)
+
+
 def test_words_outside_the_core_are_exchanged_too(spark):
     rng = random.Random(8)
     text = lambda: " ".join(f"{'ab'[i % 2]}{rng.randrange(50)}" for i in range(200))
     df = spark.createDataFrame([(i, text()) for i in range(60)], "doc_id long, text string")
-    got = brown.fit_and_score(df, F.col("doc_id") % 4 == 0, classes=4, core=2).where("held_out").collect()
+    got = brown.fit_and_score(df, F.col("doc_id") % 4 == 0, classes=4, core=2, passes=8).where("held_out").collect()
     assert np.mean([r.perplexity for r in got]) < 65  # 50 words may follow; with one class for all, 100 may
 
 
