@@ -6,8 +6,8 @@ anchor's hash.  Anchors number about two in ``length`` bytes; for each, the byte
 through it can reach are its context.
 
 1. Equal texts are taken once, with their number.
-2. Anchors of a group with equal contexts form a class; both are recognised by 64-bit hashes, in partial
-   aggregates.  A class of two or more repeats as a whole.
+2. Anchors with equal contexts form a class, found by partial aggregates over 128-bit BLAKE2b digests of
+   the contexts' own bytes.  A class of two or more repeats as a whole.
 3. Where a group has a class of one anchor and another class, one context of each class is fetched, and
    the group's suffixes are sorted (multikey quicksort, then blind tries) to find the longest repeats
    through each anchor.
@@ -18,9 +18,11 @@ ends have many contexts, and a group of m contexts takes m log m steps.
 
 Edge cases: null is empty; texts shorter than ``length`` are kept; repeated rows repeat each other, so
 all of their strings go; overlapping occurrences in one text count; an empty table gives no rows;
-removal is by bytes, so what is kept is binary; columns other than id and text are not looked at.
+ties (equal suffixes) are one class; a text of any length is hashed in pieces; removal is by bytes, so what
+is kept is binary; columns other than id and text are not looked at.
 """
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,57 +75,60 @@ def _leftmost_least(a: np.ndarray, width: int) -> np.ndarray:
     return np.where(high[p] <= low[p + width - 1], high_at[p], low_at[p + width - 1])
 
 
-def anchors(data: bytes, length: int, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places, hashes of the K bytes there, and hashes of the contexts of a text's anchors."""
+def anchors(data: bytes, length: int, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
+    """Places of a text's anchors, and hashes of the K bytes there."""
     out = []
     n, reach = len(data), length - K
     for at in range(0, n - length + 1, PIECE):
-        # strings that start in the piece, and the contexts of their anchors
-        low, high = max(at - reach, 0), min(at + PIECE + 2 * length, n)
-        raw = np.frombuffer(data, np.uint8)[low:high]
+        # the strings that start in the piece
+        raw = np.frombuffer(data, np.uint8)[at : min(at + PIECE + length, n)]
         up, down = powers.get(len(raw) + 1)
         total = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[raw] * up[: len(raw)], dtype=np.uint64)])
-        span = lambda a, b: (total[b] - total[a]) * down[a]
-        here, last = at - low, min(at + PIECE, n - length + 1) - low
-        kmers = _mix((total[here + K : last + reach + K] - total[here : last + reach]) * down[here : last + reach])
-        place = np.unique(_leftmost_least(kmers, reach + 1)) + here
-        left, right = np.minimum(place + low, reach), np.minimum(n - low - place, length)
-        context = _mix(_mix(span(place - left, place) + left.astype(np.uint64)) * np.uint64(3) + span(place, place + right) + right.astype(np.uint64) * _BASE)
-        out.append((place + low, kmers[place - here], context))
+        last = min(at + PIECE, n - length + 1) - at
+        kmers = _mix((total[K : last + reach + K] - total[: last + reach]) * down[: last + reach])
+        place = np.unique(_leftmost_least(kmers, reach + 1))
+        out.append((place + at, kmers[place]))
     if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    place, kmer, context = (np.concatenate(x) for x in zip(*out, strict=True))
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    place, kmer = (np.concatenate(x) for x in zip(*out, strict=True))
     place, one = np.unique(place, return_index=True)
-    return place, kmer[one], context[one]
+    return place, kmer[one]
+
+
+def context_digests(data: bytes, place: np.ndarray, length: int) -> bytes:
+    """16 bytes for each anchor, from the bytes around it and their number on the left."""
+    whole, reach = memoryview(data), length - K
+    return b"".join(hashlib.blake2b(whole[max(a - reach, 0) : a + length], digest_size=16, salt=min(a, reach).to_bytes(8, "little")).digest() for a in place.tolist())
 
 
 def anchor_table(texts: DataFrame, length: int) -> DataFrame:
-    """(key, copies, n, at, kmer, context) of each anchor of (key, copies, text); n is the text's length."""
-    names = ["key", "copies", "n", "at", "kmer", "context"]
+    """(key, copies, n, at, kmer, c1, c2) of each anchor of (key, copies, text); n is the text's length, c1 and c2 are its context's digest."""
+    names = ["key", "copies", "n", "at", "kmer", "c1", "c2"]
 
     def run(batches):
         powers = Powers()
         for group in chunked(batches, 2):
             for b in group:
-                sizes, parts = [], []
-                rows = b.column(2).to_pylist()
-                for t in rows:
+                sizes, places, kmers, digests = [], [], [], []
+                for t in b.column(2).to_pylist():
                     data = t.encode()
-                    found = anchors(data, length, powers) if len(data) >= length else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64))
-                    parts.append(found)
-                    sizes.append((len(found[0]), len(data)))
-                take = np.repeat(np.arange(len(rows)), [s for s, _ in sizes])
-                place, kmer, context = (np.concatenate(x) for x in zip(*parts, strict=True))
+                    place, kmer = anchors(data, length, powers)
+                    places.append(place)
+                    kmers.append(kmer)
+                    digests.append(context_digests(data, place, length))
+                    sizes.append((len(place), len(data)))
+                take = np.repeat(np.arange(len(sizes)), [s for s, _ in sizes])
                 n = np.array([s for _, s in sizes], np.int64)[take]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(take)), b.column(1).take(pa.array(take)), pa.array(n), pa.array(place), pa.array(kmer.view(np.int64)), pa.array(context.view(np.int64))], names)
+                digest = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(take)), b.column(1).take(pa.array(take)), pa.array(n), pa.array(np.concatenate(places)), pa.array(np.concatenate(kmers).view(np.int64)), pa.array(digest[:, 0]), pa.array(digest[:, 1])], names)
 
-    return texts.select("key", "copies", "text").mapInArrow(run, "key binary, copies bigint, n bigint, at bigint, kmer bigint, context bigint")
+    return texts.select("key", "copies", "text").mapInArrow(run, "key binary, copies bigint, n bigint, at bigint, kmer bigint, c1 bigint, c2 bigint")
 
 
 def context_matches(texts: DataFrame, wanted: DataFrame, length: int, buckets: int) -> DataFrame:
-    """(kmer, context, ranges array<struct<l, r>>): repeats through the anchors of each class, from one context of each class of a group."""
+    """(c1, c2, ranges array<struct<l, r>>): repeats through the anchors of each class, from one context of each class of a group."""
     reach = length - K
-    lists = wanted.groupBy("key").agg(F.collect_list(F.struct("at", "kmer", "context")).alias("anchors"))
+    lists = wanted.groupBy("key").agg(F.collect_list(F.struct("at", "kmer", "c1", "c2")).alias("anchors"))
 
     def fetch(batches):
         for group in chunked(batches, 0):
@@ -131,32 +136,32 @@ def context_matches(texts: DataFrame, wanted: DataFrame, length: int, buckets: i
                 for text, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                     data = text.encode()
                     at = [x["at"] for x in found]
-                    yield pa.RecordBatch.from_arrays([pa.array([x["kmer"] for x in found], pa.int64()), pa.array([x["context"] for x in found], pa.int64()), pa.array([data[max(a - reach, 0) : a][::-1] for a in at], pa.binary()), pa.array([data[a : a + length] for a in at], pa.binary())], ["kmer", "context", "before", "after"])
+                    yield pa.RecordBatch.from_arrays([*(pa.array([x[c] for x in found], pa.int64()) for c in ("kmer", "c1", "c2")), pa.array([data[max(a - reach, 0) : a][::-1] for a in at], pa.binary()), pa.array([data[a : a + length] for a in at], pa.binary())], ["kmer", "c1", "c2", "before", "after"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .suffix_sort import matches
 
         table = pa.Table.from_batches(list(batches))
-        kmer, context = table.column("kmer").to_numpy(), table.column("context").to_numpy()
+        kmer, c1, c2 = (table.column(c).to_numpy() for c in ("kmer", "c1", "c2"))
         before, after = table.column("before").combine_chunks(), table.column("after").combine_chunks()
         order = np.argsort(kmer, kind="stable")
         edges = np.flatnonzero(np.concatenate([[True], kmer[order][1:] != kmer[order][:-1], [True]]))
-        k, c, ranges = [], [], []
+        x1, x2, ranges = [], [], []
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             ids = order[a:b].tolist()
             if len(ids) < 2:
                 continue
-            found = matches([before[i].as_py() for i in ids], [after[i].as_py() for i in ids], length, K)
+            found = matches([before[i].as_py() for i in ids], [after[i].as_py() for i in ids], length)
             for i, r in zip(ids, found, strict=True):
                 if r:
-                    k.append(kmer[i])
-                    c.append(context[i])
+                    x1.append(c1[i])
+                    x2.append(c2[i])
                     ranges.append([{"l": x, "r": y} for x, y in r])
-        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(c, pa.int64()), pa.array(ranges, pa.list_(pa.struct([("l", pa.int64()), ("r", pa.int64())])))], ["kmer", "context", "ranges"])
+        yield pa.RecordBatch.from_arrays([pa.array(x1, pa.int64()), pa.array(x2, pa.int64()), pa.array(ranges, pa.list_(pa.struct([("l", pa.int64()), ("r", pa.int64())])))], ["c1", "c2", "ranges"])
 
-    contexts = texts.select("key", "text").join(lists, "key").select("text", "anchors").mapInArrow(fetch, "kmer bigint, context bigint, before binary, after binary")
+    contexts = texts.select("key", "text").join(lists, "key").select("text", "anchors").mapInArrow(fetch, "kmer bigint, c1 bigint, c2 bigint, before binary, after binary")
     dealt = contexts.withColumn("bucket", F.pmod(F.xxhash64("kmer"), F.lit(buckets)))
-    return dealt.groupBy("bucket").applyInArrow(compare_only(compare), "kmer bigint, context bigint, ranges array<struct<l:bigint,r:bigint>>")
+    return dealt.groupBy("bucket").applyInArrow(compare_only(compare), "c1 bigint, c2 bigint, ranges array<struct<l:bigint,r:bigint>>")
 
 
 def compare_only(f):
@@ -172,13 +177,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keyed = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(F.coalesce(text_col, F.lit("")))).alias("key"), F.coalesce(text_col, F.lit("")).alias("text"))
     texts = durable(keyed.groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("copies")))
     found = durable(anchor_table(texts.where(F.octet_length("text") >= length), length))
-    classes = durable(found.groupBy("kmer", "context").agg(F.sum("copies").alias("times"), F.min(F.struct("key", "at")).alias("one")))
+    classes = durable(found.groupBy("kmer", "c1", "c2").agg(F.sum("copies").alias("times"), F.min(F.struct("key", "at")).alias("one")))
     groups = classes.groupBy("kmer").agg(F.count("*").alias("classes"), F.min("times").alias("least")).where("classes > 1 AND least = 1").select("kmer")
-    wanted = durable(classes.join(groups, "kmer").select("kmer", "context", "one.key", "one.at"))
+    wanted = durable(classes.join(groups, "kmer").select("kmer", "c1", "c2", "one.key", "one.at"))
     partial = context_matches(texts, wanted, length, buckets)
-    whole = classes.where("times > 1").select("kmer", "context", F.array(F.struct(F.lit(length).cast("bigint").alias("l"), F.lit(length).cast("bigint").alias("r"))).alias("ranges"))
-    known = whole.unionByName(partial).groupBy("kmer", "context").agg(F.max_by("ranges", F.element_at("ranges", 1)["l"]).alias("ranges"))
-    hits = found.join(durable(known), ["kmer", "context"])
+    whole = classes.where("times > 1").select("c1", "c2", F.array(F.struct(F.lit(length).cast("bigint").alias("l"), F.lit(length).cast("bigint").alias("r"))).alias("ranges"))
+    known = whole.unionByName(partial).groupBy("c1", "c2").agg(F.max_by("ranges", F.element_at("ranges", 1)["l"]).alias("ranges"))
+    hits = found.drop("kmer", "copies").join(durable(known), ["c1", "c2"])
     left, right = F.least("at", F.lit(length - K)), F.least(F.col("n") - F.col("at"), F.lit(length))
     spans = F.transform("ranges", lambda x: F.struct((F.col("at") - F.least(x.l, left)).alias("start"), (F.col("at") + F.least(x.r, right)).alias("end")))
     spans = F.filter(spans, lambda s: s.end - s.start >= length)
