@@ -10,7 +10,8 @@ scored once.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; texts of any length are
 scored whole; null labels are not learned from; without a usable label everything is ``und``; repeated
-rows stay; an empty table gives no rows; columns other than id, text and label are not looked at.
+rows stay; of equal probabilities the first language (by name) is taken; an empty table gives no rows;
+columns other than id, text and label are not looked at.
 """
 
 from __future__ import annotations
@@ -208,6 +209,10 @@ def training_windows(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     length = F.length(text_col)
     cut = F.transform(F.sequence(F.lit(0), F.lit(windows - 1)), lambda k: F.substring(F.col(text_col), (F.floor(length * k / windows) + 1).cast("int"), F.lit(size)))
     thin = usable.select(F.col(lang_col).alias("lang"), F.xxhash64(id_col, text_col).alias("h"), F.array_distinct(cut).alias("cut"))
+    # a hash threshold for each language leaves some 4 * per_lang of its documents, whatever their number, to be ranked
+    counts = {r["lang"]: r["count"] for r in usable.groupBy(F.col(lang_col).alias("lang")).count().toLocalIterator()}
+    share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(4.0 * per_lang / n)) for lang, n in counts.items()], F.lit(1.0))
+    thin = thin.where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30))
     top = thin.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", F.col("cut")[0]))).where(F.col("rank") <= per_lang)
     return sorted((w.encode(), r.lang) for r in top.select("lang", "cut").toLocalIterator() for w in r.cut if w)
 
