@@ -14,8 +14,9 @@ cluster structure, so a small share can't reach 0.9.
 
 Edge cases: vectors that are null, zero, hold null or non-finite components, or are not of the most
 common length take no part, as queries or candidates; a null id takes no part either; fewer than k
-candidates are all returned; ties go to the smaller id; rows that repeat an id count as one (the query's
-own rows are never candidates); an empty table gives no rows; further columns are not looked at.
+candidates are all returned; ties go to the smaller id; rows that repeat an id are all searched, and the id
+counts with its best score (the query's own id is never a candidate); an empty table gives no rows; further
+columns are not looked at.
 """
 
 import heapq
@@ -115,7 +116,7 @@ def search(table: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col:
             cell = nearest(y[:, :half], c1) * width + nearest(y[:, half:], c2)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(cell, pa.int32())], ["id", "v", "query", "cell"])
 
-    index = durable(vectors.dropDuplicates(["id"]).select("id", "v", is_query.alias("query")).mapInArrow(place, "id bigint, v array<double>, query boolean, cell int"))
+    index = durable(vectors.dropDuplicates(["id", "v"]).select("id", "v", is_query.alias("query")).mapInArrow(place, "id bigint, v array<double>, query boolean, cell int"))
     counts = np.zeros(len(books[0]) * width, np.int64)
     for r in index.groupBy("cell").count().collect():
         counts[r.cell] = r["count"]
@@ -154,23 +155,28 @@ def search(table: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col:
         same = np.concatenate([np.zeros(k + 1, bool), (y[k + 1 :] == y[: -k - 1]).all(axis=1)]) if len(y) > k + 1 else np.zeros(len(y), bool)
         ids, y = ids[~same], y[~same]
         norm = np.sqrt((y * y).sum(axis=1))
+        repeated = len(np.unique(ids)) < len(ids)
         out = [], [], []
         for own, data in zip(right.column("ids").to_pylist(), right.column("data").to_pylist(), strict=True):
             own, q = np.frombuffer(own, "<i8"), np.frombuffer(data).reshape(-1, dim)
             rough = (q / np.sqrt((q * q).sum(axis=1, keepdims=True))) @ (y / norm[:, None]).T
             for i in range(len(q)):
                 r = np.where(ids == own[i], -9.0, rough[i])
-                least = np.partition(r, -k)[-k] if len(r) > k else -2.0
+                least = np.partition(r, -k)[-k] if len(r) > k and not repeated else -2.0
                 near = np.flatnonzero((r >= least - 1e-9) & (r > -5))
                 # one product and sum per pair, so that equal vectors get equal scores
                 exact = (y[near] * q[i]).sum(axis=1) / (norm[near] * np.sqrt((q[i] * q[i]).sum()))
-                best = np.lexsort((ids[near], -exact))[:k]
+                best = np.lexsort((ids[near], -exact))
+                if repeated:
+                    best = best[np.sort(np.unique(ids[near][best], return_index=True)[1])]
+                best = best[:k]
                 out[0].extend([own[i]] * len(best))
                 out[1].extend(ids[near][best])
                 out[2].extend(exact[best])
         return pa.table([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=names)
 
     found = entries.groupBy("cell", "piece").cogroup(asked.groupBy("cell", "piece")).applyInArrow(rank, "query_id bigint, vec_id bigint, score double")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
