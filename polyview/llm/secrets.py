@@ -3,14 +3,15 @@
 Three patterns give base spans.  Beside them, two first-order character Markov models, one of random
 strings and one of ordinary identifiers, are trained from labelled samples; a long run of identifier
 characters is reported when the mean log-likelihood ratio of the character pairs of the run, or of any
-long enough stretch of its parts between '=', '/', '_' and '-', reaches a threshold, the run has both a
-digit and a letter, and no base span overlaps it.  A key behind or before an ordinary name or path is
+long enough stretch of its parts between '=', '/', '_' and '-', reaches a threshold and the run has both a
+digit and a letter; a base span may overlap it.  A key behind or before an ordinary name or path is
 thus judged by itself; the span is the whole run.  Everything is built-in expressions, so the scan is
 one projection over the documents without a shuffle.
 
 Edge cases: a null or empty text has no spans; texts of any length are scanned whole; offsets are
-code points, end exclusive; spans of different kinds may overlap; rows repeat as they come; an empty
-table gives no rows; a column named like a result column is replaced by it.
+code points, end exclusive; spans of different kinds may overlap, and those of equal start come in the
+order of KINDS; rows repeat as they come; an empty table gives no rows; a column named secret_spans is
+replaced by the result, all other columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -130,37 +131,100 @@ def _found(text: Column, pattern: str, group: int) -> Column:
 
 
 _SPANS = "array<struct<start:int,kind:int,end:int,part:string>>"
+_HOLES = "array<struct<start:int,end:int,fresh:boolean>>"
+#: Matches that are folded into an array at once.
+BLOCK = 128
+
+
+def _bind(value: Column, use) -> Column:
+    """use(value), with ``value`` computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _in_blocks(items: Column, step, zero: Column, kind: str, ends) -> Column:
+    """Fold ``items`` into an array of ``kind`` by blocks of BLOCK, so that a fold copies a short array only.
+
+    ``step`` folds an item into (pos, out); ``ends`` gives pos after a block from pos before it and the block.
+    """
+    last = F.greatest(F.floor((F.size(items) - 1) / BLOCK), F.lit(0)).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(items, i * BLOCK + 1, F.lit(BLOCK)))
+    begin = lambda bs: F.aggregate(bs, F.struct(zero.alias("pos"), F.array().cast("array<int>").alias("all")), lambda acc, b: F.struct(ends(acc.pos, b).alias("pos"), F.concat(acc["all"], F.array(acc.pos)).alias("all")))["all"]
+    fold = lambda b, pos: F.aggregate(b, F.struct(pos.alias("pos"), F.array().cast(kind).alias("out")), step).out
+    return _bind(blocks, lambda bs: F.flatten(F.zip_with(bs, begin(bs), fold)))
 
 
 def _spans(found: Column, kind: int) -> Column:
     """Spans from gaps and matches: a running sum of lengths."""
-    zero = F.struct(F.lit(0).alias("pos"), F.array().cast(_SPANS).alias("out"))
 
     def step(acc, m):
         start = acc.pos + m.gap
         end = start + F.length(m["all"])
         return F.struct(end.alias("pos"), F.concat(acc.out, F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), m.part.alias("part")))).alias("out"))
 
-    return F.when(found.isNull(), F.array().cast(_SPANS)).otherwise(F.aggregate(found, zero, step).out)
+    ends = lambda pos, b: pos + F.aggregate(b, F.lit(0), lambda n, m: n + m.gap + F.length(m["all"]))
+    return F.when(found.isNull(), F.array().cast(_SPANS)).otherwise(_in_blocks(found, step, F.lit(0), _SPANS, ends))
+
+
+def _apart(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``docs`` with its columns named by number, so that no name clashes with one in here, and its own names."""
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]), docs.columns
 
 
 def scan_secrets(docs: DataFrame, model: DataFrame | None = None, text_col: str = "text", least: float = MARKOV_LEAST) -> DataFrame:
     """``docs`` with secret_spans, array<struct<start, kind, end>> by start and kind (index in KINDS)."""
     llr = model_literal(train(training_samples(docs.sparkSession)) if model is None else model)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    cols = [F.col(c) for c in docs.columns if c not in ("__a", "__k", "__h", "__m", "__base", "secret_spans")]
-    found = docs.select(*cols, _found(text, ASSIGN, 2).alias("__a"), _found(text, ACCESS, 0).alias("__k"), _found(text, HEX, 0).alias("__h"), _found(text, MARKOV_RUN, 0).alias("__m"))
+    docs = docs.drop("secret_spans")
+    plain, names = _apart(docs)
+    text = F.coalesce(F.col(f"c{names.index(text_col)}"), F.lit(""))
+    cols = plain.columns
+    found = plain.select(*cols, _found(text, ASSIGN, 2).alias("a"), _found(text, ACCESS, 0).alias("k"), _found(text, HEX, 0).alias("h"), _found(text, MARKOV_RUN, 0).alias("m"))
     spans = found.select(
         *cols,
-        F.filter(_spans(F.col("__a"), 0), lambda s: F.length(s.part) >= ASSIGN_MIN).alias("__a"),
-        _spans(F.col("__k"), 1).alias("__k"), _spans(F.col("__h"), 2).alias("__h"), _spans(F.col("__m"), 3).alias("__m"),
+        F.filter(_spans(F.col("a"), 0), lambda s: F.length(s.part) >= ASSIGN_MIN).alias("a"),
+        _spans(F.col("k"), 1).alias("k"), _spans(F.col("h"), 2).alias("h"), _spans(F.col("m"), 3).alias("m"),
     )
-    spans = spans.select(*cols, F.concat("__a", "__k", "__h").alias("__base"), "__m")
     mixed = lambda s: F.regexp_like(s.part, F.lit("[0-9]")) & F.regexp_like(s.part, F.lit("[A-Za-z]"))
-    free = lambda s: ~F.exists(F.col("__base"), lambda b: (b.start < s.end) & (s.start < b.end))
-    extra = F.filter(F.col("__m"), lambda s: mixed(s) & free(s) & ((mean_llr(s.part, llr) >= least) | stretch_reaches(s.part, llr, least)))
-    every = F.array_sort(F.concat("__base", F.when(F.size("__m") > 0, extra).otherwise(F.array().cast(_SPANS))))
-    return spans.select(*cols, F.transform(every, lambda s: F.struct(s.start.alias("start"), s.kind.alias("kind"), s.end.alias("end"))).alias("secret_spans"))
+    extra = F.filter(F.col("m"), lambda s: mixed(s) & ((mean_llr(s.part, llr) >= least) | stretch_reaches(s.part, llr, least)))
+    every = F.array_sort(F.concat("a", "k", "h", F.when(F.size("m") > 0, extra).otherwise(F.array().cast(_SPANS))))
+    thin = F.transform(every, lambda s: F.struct(s.start.alias("start"), s.kind.alias("kind"), s.end.alias("end")))
+    return spans.select(*[F.col(c).alias(n) for c, n in zip(cols, names, strict=True)], thin.alias("secret_spans"))
+
+
+def _cut(text: Column, start, end=None) -> Column:
+    """Code points ``start`` (from 0) up to ``end``, or to the text's end."""
+    return F.substring(text, start + 1, F.length(text) if end is None else end - start)
+
+
+def redacted(text: Column, spans: Column, mark: str) -> Column:
+    """``text`` with each span replaced by ``mark``; overlapping spans become one.
+
+    Pieces are cut from the part of the text that a block of spans covers and are joined once.
+    """
+    merge_zero = F.struct(F.lit(-1).alias("pos"), F.array().cast(_HOLES).alias("out"))
+
+    def merge(acc, s):
+        fresh = s.start >= acc.pos
+        hole = F.struct(F.when(fresh, s.start).otherwise(acc.pos).alias("start"), F.greatest(acc.pos, s.end).alias("end"), fresh.alias("fresh"))
+        return F.struct(F.greatest(acc.pos, s.end).alias("pos"), F.concat(acc.out, F.array(hole)).alias("out"))
+
+    last_end = lambda pos, b: F.greatest(pos, F.array_max(F.transform(b, lambda s: s.end)))
+    # a span that begins inside the one before only carries on its hole
+    holes = _in_blocks(spans, merge, merge_zero.pos, _HOLES, lambda pos, b: F.coalesce(last_end(pos, b), pos))
+    before = lambda hs, i: F.when(i == 0, F.lit(0)).otherwise(F.element_at(hs, F.greatest(i, F.lit(1)))["end"])
+
+    def pieces(b, low, part):
+        at = F.concat(F.array(low), F.transform(b, lambda h: h.end))
+        return F.array_join(F.zip_with(b, F.slice(at, F.lit(1), F.size(b)), lambda h, e: F.concat(_cut(part, e - low, h.start - low), F.when(h.fresh, F.lit(mark)).otherwise(F.lit("")))), "")
+
+    def block(hs, i):
+        b = F.struct(F.slice(hs, i * BLOCK + 1, F.lit(BLOCK)).alias("b"), before(hs, i * BLOCK).alias("low"))
+        return _bind(b, lambda x: _bind(_cut(text, x.low, F.element_at(x.b, -1)["end"]), lambda part: pieces(x.b, x.low, part)))
+
+    def whole(hs):
+        body = F.array_join(F.transform(F.sequence(F.lit(0), F.floor((F.size(hs) - 1) / BLOCK).cast("int")), lambda i: block(hs, i)), "")
+        return F.concat(body, _cut(text, F.element_at(hs, -1)["end"]))
+
+    return F.when(F.size(spans) > 0, _bind(holes, whole)).otherwise(text)
 
 
 def redact_secrets(docs: DataFrame, mark: str = "[SECRET]", text_col: str = "text", model: DataFrame | None = None) -> DataFrame:
@@ -168,21 +232,15 @@ def redact_secrets(docs: DataFrame, mark: str = "[SECRET]", text_col: str = "tex
 
     ``n_chars``, if there is such a column, is set anew where the text changes.
     """
-    cols = docs.columns
-    text = F.col(text_col)
-    scanned = scan_secrets(docs, model, text_col)
-    zero = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-
-    def step(acc, s):
-        gap = F.substring(text, acc.pos + 1, s.start - acc.pos)
-        return F.struct(F.greatest(acc.pos, s.end).alias("pos"), F.when(s.start >= acc.pos, F.concat(acc.out, gap, F.lit(mark))).otherwise(acc.out).alias("out"))
-
-    done = F.aggregate(F.col("secret_spans"), zero, step, lambda acc: F.concat(acc.out, F.substring(text, acc.pos + 1, F.length(text))))
+    plain, names = _apart(docs)
+    at = names.index(text_col)
+    scanned = scan_secrets(plain, model, f"c{at}")
     hit = F.size("secret_spans") > 0
-    out = scanned.withColumn(text_col, F.when(hit, done).otherwise(text))
-    if "n_chars" in cols:
-        out = out.withColumn("n_chars", F.when(hit, F.length(text_col).cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*cols)
+    out = scanned.withColumn(f"c{at}", redacted(F.col(f"c{at}"), F.col("secret_spans"), mark))
+    if "n_chars" in names:
+        size = f"c{names.index('n_chars')}"
+        out = out.withColumn(size, F.when(hit, F.length(f"c{at}").cast("long")).otherwise(F.col(size)))
+    return out.drop("secret_spans").toDF(*names)
 
 
 def _joined(spans: Column) -> Column:

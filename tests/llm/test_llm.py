@@ -281,6 +281,48 @@ def test_secret_spans(spark, docs, rows):
     assert secrets.scan_secrets(docs.limit(0)).count() == 0
 
 
+def test_secret_spans_against_an_independent_ratio(spark):
+    """Markov spans by plain counting over the labelled samples."""
+    size, pairs, firsts = len(secrets.ALPHABET), Counter(), Counter()
+    for r in secrets.training_samples(spark).collect():
+        for a, b in zip(r.text, r.text[1:], strict=False):
+            if a in secrets.ALPHABET and b in secrets.ALPHABET:
+                pairs[r.label, a, b] += 1
+                firsts[r.label, a] += 1
+    logp = lambda k, a, b: math.log((pairs[k, a, b] + 1) / (firsts[k, a] + size))
+    total = lambda x: sum(logp(1, a, b) - logp(0, a, b) for a, b in zip(x, x[1:], strict=False))
+
+    def is_secret(run):
+        if not (re.search("[0-9]", run) and re.search("[A-Za-z]", run)):
+            return False
+        parts = [p for p in re.split("[=/_-]+", run) if p]
+        stretches = [parts[i:j] for i in range(len(parts)) for j in range(i + 1, len(parts) + 1)]
+        return total(run) / (len(run) - 1) >= secrets.MARKOV_LEAST or any(len("-".join(x)) >= secrets.MARKOV_MIN and sum(map(total, x)) >= secrets.MARKOV_LEAST * sum(map(len, x)) for x in stretches)
+
+    rng = random.Random(11)
+    names, chars = secrets.PARTS, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda n: "".join(rng.choice(chars) for _ in range(n))
+    texts = [" ".join(rng.choice([f"{rng.choice(names)}_{rng.choice(names)}_{rng.randint(1, 2030)}", key(rng.randint(12, 40)), f"{rng.choice(names)}/{key(22)}", "token=" + key(24), "AKIA" + key(20).upper(), rng.choice(names)]) for _ in range(rng.choice([1, 5, 400]))) for _ in range(40)]
+    texts[0] = texts[0] + " é " * 50 + "token=abcdef " * 700  # more matches than a block holds
+    df = spark.createDataFrame([(i, t, "a", "k", 0) for i, t in enumerate(texts)], "c1 long, text string, a string, secret_spans string, __a int")
+    hits = 0
+    for r in secrets.scan_secrets(df).collect():
+        want = [(m.start(), 3, m.end()) for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", r.text) if is_secret(m[0])]
+        assert [tuple(s) for s in r.secret_spans] == sorted(base_spans(r.text) + want)
+        hits += len(want)
+    assert hits > 1000
+    spans = {r.c1: [(s.start, s.end) for s in r.secret_spans] for r in secrets.scan_secrets(df).collect()}
+    red = secrets.redact_secrets(df)
+    assert red.columns == df.columns
+    for r in red.collect():
+        out, pos = [], 0
+        for a, b in spans[r.c1]:
+            if a >= pos:
+                out.append(texts[r.c1][pos:a] + "[SECRET]")
+            pos = max(pos, b)
+        assert r.text == "".join(out) + texts[r.c1][pos:] and (r.a, r.secret_spans, r["__a"]) == ("a", "k", 0)
+
+
 def test_secret_keys_glued_to_names(spark):
     rng = random.Random(4)
     alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
@@ -356,6 +398,20 @@ def test_multi_index(spark):
     assert [r.vec_id for r in sorted((r for r in got if r.query_id == 0), key=lambda r: r.rank)][:2] == [7, 9]
 
 
+def test_multi_index_repeated_ids(spark):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((80, 4))
+    ids = np.arange(80) // 2 * 5  # every id twice, with different vectors
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    got = {(r.query_id, r.rank): (r.vec_id, round(r.score, 9)) for r in multi_index.search(df.union(df), F.col("id") % 50 == 0, share=1.0, part=20).collect()}
+    want = {}
+    for q in range(0, 200, 50):
+        best = {int(i): round(float((unit[ids == q] @ unit[ids == i].T).max()), 9) for i in set(ids) if i != q}
+        want |= {(q, k): x for k, x in enumerate(sorted(best.items(), key=lambda x: (-x[1], x[0]))[:5], 1)}
+    assert got == want
+
+
 def test_mixing(spark, docs, rows):
     got = mixing.mix_sources(docs).collect()
     size = defaultdict(int)
@@ -394,6 +450,16 @@ def test_matches_against_all_pairs():
             assert cover(got[i]) == cover((suffix_sort.lcp(left[i], left[j]), suffix_sort.lcp(right[i], right[j])) for j in range(m) if j != i)
 
 
+def test_anchors_of_texts_longer_than_a_piece(monkeypatch):
+    rng = random.Random(6)
+    data = bytes(rng.choice(b"abc ") for _ in range(5000)) * 2
+    whole = repeats.anchors(data, 400, repeats.Powers())
+    monkeypatch.setattr(repeats, "PIECE", 700)
+    parts = repeats.anchors(data, 400, repeats.Powers())
+    assert all((a == b).all() for a, b in zip(whole, parts, strict=True))
+    assert (np.diff(whole[0]) <= 400 - repeats.K + 1).all()
+
+
 @pytest.mark.parametrize("length", [40, 400])
 def test_repeats(docs, rows, length):
     texts = [(r[1] or "").encode() for r in rows]
