@@ -50,11 +50,6 @@ def lower_ascii(col: Column) -> Column:
     return F.translate(col, UPPER, UPPER.lower())
 
 
-def words_of(text: bytes) -> list[bytes]:
-    """The words of a UTF-8 text with A-Z lower-cased; bytes.split() splits on exactly \\x20 \\x09-\\x0D."""
-    return text.lower().split()
-
-
 def tokenise(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Number of each word, words per text, and the distinct words (strings, A-Z lower-cased) of a column of texts.
 
