@@ -91,7 +91,10 @@ def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     The copy at a source's cut keeps the words the budget still has room for (its ``n_chars``, if
     there is such a column, follows).
     """
+    names = docs.columns
+    docs = docs.toDF(*[f"c{i}" for i in range(len(names))])  # so that no name clashes with one in here
     cols = docs.columns
+    id_col, text_col, source_col = (f"c{names.index(c)}" for c in (id_col, text_col, source_col))
     seed = params.get("seed", 7)
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.withColumn("mix_key", F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")), text)))
@@ -103,9 +106,10 @@ def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     out = joined.select(*[F.col(f"d.{c}").alias(c) for c in cols], F.col("p.size").alias("mix_size"), F.explode(copies).alias("mix_words"))
     cut = F.when(F.col("mix_words") < F.col("mix_size"), first_words(F.col(text_col), F.col("mix_words"))).otherwise(F.col(text_col))
     out = out.withColumn(text_col, cut)
-    if "n_chars" in cols:
-        out = out.withColumn("n_chars", F.when(F.col("mix_words") < F.col("mix_size"), F.length(text_col).cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*cols)
+    if "n_chars" in names:
+        size = f"c{names.index('n_chars')}"
+        out = out.withColumn(size, F.when(F.col("mix_words") < F.col("mix_size"), F.length(text_col).cast("long")).otherwise(F.col(size)))
+    return out.select(*cols).toDF(*names)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

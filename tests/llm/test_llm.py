@@ -431,6 +431,17 @@ def test_mixing(spark, docs, rows):
     assert mixing.mix_sources(docs.limit(0)).count() == 0
 
 
+def test_columns_that_clash(spark, rows):
+    """Further columns named like the operators' own stay as they are."""
+    names = ["__key", "__a", "mix_key", "root", "key", "id", "secret_spans", "c0", "mix_turn", "__id"]
+    df = spark.createDataFrame([(*r[:5], *[f"{n} {i}" for n in names]) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    for stage in (jaccard.keep_one, mixing.apply_mix, secrets.redact_secrets):
+        out = stage(df)
+        assert out.columns == df.columns
+        got = out.collect()
+        assert got and all(r[n].startswith(f"{n} ") for r in got for n in names)
+
+
 def test_suffix_sorting():
     rng = random.Random(1)
     for _ in range(200):
