@@ -3,13 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
+import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Views of at most so many bytes are held by the driver while an iterative method passes over them.
+LOCAL_BYTES = 64 << 20
+
+
 @dataclass(frozen=True)
 class MultiviewFrame:
     """``views`` are columns of ``df`` that share the rows named by ``key``; an unlabelled row has a null ``label``."""
@@ -19,6 +26,7 @@ class MultiviewFrame:
     views: tuple[str, ...] = ("v0", "v1")
     label: str | None = None
     dims: tuple[int, ...] = field(default=())
+    local: np.ndarray | None = field(default=None, compare=False, repr=False)
 
     @classmethod
     def from_columns(cls, df: DataFrame, key: str, columns: Sequence[Sequence[str]], label: str | None = None) -> MultiviewFrame:
@@ -47,6 +55,21 @@ class MultiviewFrame:
             raise ValueError("views have different samples")
         return cls(out, "sample_id", views)
 
+    @contextmanager
+    def pinned(self):
+        """The frame for many passes over the same rows: views of up to LOCAL_BYTES (rows are counted first) are also held here, side by side in ``local``; larger ones are cached by the executors."""
+        mv = self if self.dims else self.checked()
+        if mv.df.count() * sum(mv.dims) * 8 <= LOCAL_BYTES:
+            table = mv.df.select(*mv.views).toArrow()
+            columns = [table[v].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1) for v in mv.views]
+            yield replace(mv, local=np.hstack(columns))
+            return
+        df = mv.df.select(*mv.keep(), *mv.views).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            yield replace(mv, df=df)
+        finally:
+            df.unpersist()
+
     def cols(self) -> list[Column]:
         return [F.col(v) for v in self.views]
 
@@ -57,7 +80,7 @@ class MultiviewFrame:
     def with_views(self, views: Sequence[Column], dims: Sequence[int] = ()) -> MultiviewFrame:
         names = [f"v{i}" for i in range(len(views))]
         out = self.df.select(*self.keep(), *[v.alias(n) for v, n in zip(views, names, strict=True)])
-        return replace(self, df=out, views=tuple(names), dims=tuple(dims))
+        return replace(self, df=out, views=tuple(names), dims=tuple(dims), local=None)
 
     def checked(self, multiview: bool = False, enforce_views: int | None = None, finite: bool = True) -> MultiviewFrame:
         """The frame with its widths, after one validating aggregate."""

@@ -18,7 +18,7 @@ MAX_AFFINITY_ROWS = 5000
 class MultiviewKMeans:
     """Co-EM k-means of two views: the M step of a view uses the other view's partition.
 
-    An iteration is one pass that sums rows and counts per cluster.  It stops when the summed distance
+    An iteration is one pass that sums rows and counts per cluster, for all runs at once.  A run stops when the summed distance
     has not fallen by ``tol`` of itself for ``patience`` rounds; the best of ``n_init`` runs stays.
     ``init`` may be a list of two centroid arrays.
     """
@@ -37,64 +37,87 @@ class MultiviewKMeans:
             return 1 - x @ c.T
         return np.sqrt(np.maximum((x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1), 0))
 
-    def _start(self, mv, rng):
+    def _starts(self, mv, rng) -> list[list[np.ndarray]]:
+        """Centroids of both views for each run; all runs share their passes."""
         if not isinstance(self.init, str):
             out = [np.asarray(c, float) for c in self.init]
             if len(out) != 2 or any(c.shape != (self.n_clusters, d) for c, d in zip(out, mv.dims, strict=True)):
                 raise ValueError("init must hold n_clusters centroids for each view")
-            return out
-        seed = int(rng.integers(1 << 31))
-        rows = mv.df.select(mv.key, *mv.views).orderBy(F.xxhash64(F.col(mv.key), F.lit(seed)), mv.key).limit(self.n_clusters).collect()
-        if len(rows) < self.n_clusters:
+            return [out]
+        seeds = [int(rng.integers(1 << 31)) for _ in range(self.n_init)]
+        cut, k = mv.dims[0], self.n_clusters
+        if mv.df.limit(k).count() < k:
             raise ValueError("fewer samples than clusters")
         if self.init == "random":
-            return [np.array([r[v] for r in rows]) for v in mv.views]
-        picked = [rows[0]]  # farthest first on the second view
-        while len(picked) < self.n_clusters:
-            c = [X.vector(r[mv.views[1]]) for r in picked]
-            gap = F.array_min(F.array(*[X.sqdist(F.col(mv.views[1]), y) for y in c]))
-            picked.append(mv.df.select(*mv.views, mv.key, gap.alias("__gap")).orderBy(F.desc("__gap"), mv.key).first())
-        return [np.array([r[v] for r in picked]) for v in mv.views]
-
-    def _run(self, mv, start):
-        cut = mv.dims[0]
-        c, best, kept, idle = start, np.inf, start, 0
-        k = self.n_clusters
+            rows = [mv.df.select(mv.key, *mv.views).orderBy(F.xxhash64(F.col(mv.key), F.lit(seed)), mv.key).limit(k).collect() for seed in seeds]
+            return [[np.array([r[v] for r in run]) for v in mv.views] for run in rows]
+        first = mv.df.agg(*[F.min_by(F.concat(*mv.views), F.struct(F.xxhash64(F.col(mv.key), F.lit(seed)), mv.key)).alias(f"r{i}") for i, seed in enumerate(seeds)]).first()
+        picked = [np.array([r]) for r in first]
+        for _ in range(1, k):  # farthest first on the second view; of equals the least row
+            def part(x, picked=picked):
+                out = []
+                for p in picked:
+                    gap = ((x[:, None, cut:] - p[None, :, cut:]) ** 2).sum(-1).min(axis=1)
+                    far = np.flatnonzero(gap == gap.max())
+                    out.append(np.concatenate([gap[far[:1]], min(x[far].tolist())]))
+                return out
+
+            def better(a, b):
+                return [x if (-x[0], x[1:].tolist()) <= (-y[0], y[1:].tolist()) else y for x, y in zip(a, b, strict=True)]
+
+            picked = [np.vstack([p, row[1:]]) for p, row in zip(picked, summed(mv, part, better), strict=True)]
+        return [[p[:, :cut], p[:, cut:]] for p in picked]
+
+    def _runs(self, mv, starts) -> list[tuple[float, list[np.ndarray]]]:
+        """(least loss, its centroids) of each run; a pass advances all runs that have not stopped."""
+        cut, k = mv.dims[0], self.n_clusters
+        now, best, kept, idle = list(starts), [np.inf] * len(starts), list(starts), [0] * len(starts)
+        going = list(range(len(starts)))
         for _ in range(self.max_iter or 10_000):
-            def part(x, c=c):
+            def part(x, held=tuple(now[r] for r in going)):
                 out = []
-                for view, rows in enumerate((x[:, :cut], x[:, cut:])):
-                    other = (x[:, cut:], x[:, :cut])[view]
-                    labels = self._distances(other, c[1 - view]).argmin(axis=1)
-                    sums = np.zeros((k, rows.shape[1]))
-                    np.add.at(sums, labels, rows)
-                    out += [sums, np.bincount(labels, minlength=k).astype(float), np.array([self._distances(rows, c[view]).min(axis=1).sum()])]
+                for c in held:
+                    far = [self._distances(x[:, :cut], c[0]), self._distances(x[:, cut:], c[1])]
+                    for view, rows in enumerate((x[:, :cut], x[:, cut:])):
+                        labels = far[1 - view].argmin(axis=1)
+                        sums = np.zeros((k, rows.shape[1]))
+                        np.add.at(sums, labels, rows)
+                        out += [sums, np.bincount(labels, minlength=k).astype(float), np.array([far[view].min(axis=1).sum()])]
                 return out
 
             s = summed(mv, part)
-            loss = float(s[2][0] + s[5][0])
-            if loss < best * (1 - self.tol) or best == np.inf:
-                best, kept, idle = loss, c, 0
-            else:
-                idle += 1
-                if idle >= self.patience:
-                    break
-            new = []
-            for view in (0, 1):
-                sums, counts = s[3 * view], s[3 * view + 1]
-                m = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], c[view])
-                new.append(m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) if self.spherical else m)
-            c = new
-        return best, kept
+            left = []
+            for i, r in enumerate(going):
+                own = s[6 * i : 6 * i + 6]
+                loss = float(own[2][0] + own[5][0])
+                if loss < best[r] * (1 - self.tol) or best[r] == np.inf:
+                    best[r], kept[r], idle[r] = loss, now[r], 0
+                else:
+                    idle[r] += 1
+                    if idle[r] >= self.patience:
+                        continue
+                new = []
+                for view in (0, 1):
+                    sums, counts = own[3 * view], own[3 * view + 1]
+                    m = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], now[r][view])
+                    new.append(m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) if self.spherical else m)
+                now[r] = new
+                left.append(r)
+            going = left
+            if not going:
+                break
+        return list(zip(best, kept, strict=True))
 
     def fit(self, mv):
         if not isinstance(self.n_clusters, int) or self.n_clusters < 1:
             raise ValueError("n_clusters must be a positive integer")
         if isinstance(self.init, str) and self.init not in ("k-means++", "random"):
             raise ValueError("init must be k-means++, random or centroids")
-        mv = self._scaled(mv.checked(enforce_views=2))
-        rng = np.random.default_rng(self.random_state)
-        runs = [self._run(mv, self._start(mv, rng)) for _ in range(self.n_init if isinstance(self.init, str) else 1)]
+        with self._scaled(mv.checked(enforce_views=2)).pinned() as mv:
+            return self._fit(mv)
+
+    def _fit(self, mv):
+        runs = self._runs(mv, self._starts(mv, np.random.default_rng(self.random_state)))
         self.inertia_, c = min(runs, key=lambda r: r[0])
         cut = mv.dims[0]
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 import warnings
+from dataclasses import replace
 from itertools import permutations
 
 import numpy as np
 from pyspark.sql import functions as F
 
+from ..frame import MultiviewFrame
 from ..functions import exprs as X
 from ..functions.linalg import as_list, blocks, eigh, fix_signs, profile_elbows, svd_from_gram
 from ..plans.gram import gram, summed
@@ -82,6 +84,9 @@ def _orthonormal(w):
 
 def fastica(mv, k: int, max_iter: int = 200, tol: float = 1e-6, seed: int = 0) -> np.ndarray:
     """Symmetric FastICA (log-cosh) on one white view: each iteration is one pass that sums k x k moments."""
+    if mv.local is None:
+        with mv.pinned() as held:
+            return fastica(held, k, max_iter, tol, seed)
     w = _orthonormal(np.random.default_rng(seed).standard_normal((k, k)))
     for _ in range(max_iter):
         def part(x, w=w):
@@ -125,10 +130,14 @@ class MultiviewICA:
     """Shared independent sources, one unmixing per view: maximum likelihood by quasi-Newton steps (Richard et al. 2020).
 
     Views are reduced to ``n_components`` by PCA and whitened; each sweep is one pass that sums k x k moments
-    of every view.  A step that lowers the likelihood too little is halved.
+    of every view.  A step that lowers the likelihood too little is halved.  ``init`` is 'permica' (an ICA of
+    each view, matched to the first), 'groupica', or a list of k x k unmixing matrices of the white views.
     """
 
-    def __init__(self, n_components=None, noise=1.0, max_iter=200, tol=1e-3, multiview_output=True, random_state=0, init_iter=40):
+    def __init__(self, n_components=None, noise=1.0, max_iter=200, tol=1e-3, multiview_output=True, random_state=0, init_iter=40, init="permica"):
+        if isinstance(init, str) and init not in ("permica", "groupica"):
+            raise ValueError("init must be permica, groupica or matrices")
+        self.init = init
         self.n_components, self.noise, self.max_iter, self.tol, self.multiview_output, self.random_state = n_components, noise, max_iter, tol, multiview_output, random_state
         self.init_iter = init_iter
 
@@ -141,14 +150,33 @@ class MultiviewICA:
             s, v = _pca(g.block(i, i), k)
             maps.append(v / (s / math.sqrt(g.n)))
         white = mv.with_views([X.project(x, m, mean) for x, m, mean in zip(mv.cols(), maps, g.means, strict=True)], [k] * len(maps))
+        with white.pinned() as held:
+            ws = self._maximise(held, self._start(mv, held, maps, k), k)
+        self.means_ = g.means
+        self.individual_components_ = [m @ w.T for m, w in zip(maps, ws, strict=True)]
+        self.individual_mixing_ = [np.linalg.pinv(c).T for c in self.individual_components_]
+        return self
+
+    def _start(self, mv, white, maps, k):
+        if not isinstance(self.init, str):
+            ws = [np.asarray(w, float) for w in self.init]
+            if len(ws) != len(maps) or any(w.shape != (k, k) for w in ws):
+                raise ValueError("init must hold a square matrix of n_components for each view")
+            return ws
+        if self.init == "groupica":
+            own = GroupICA(k, max_iter=self.init_iter, random_state=self.random_state).fit(mv).individual_components_
+            return [np.linalg.lstsq(m, c, rcond=None)[0].T for m, c in zip(maps, own, strict=True)]
         # start: ICA of the first view, others matched to it through their cross moments
-        own = [fastica(type(mv)(white.df, white.key, (v,), None, (k,)), k, self.init_iter, seed=self.random_state) for v in white.views]
+        own = [fastica(type(mv)(white.df, white.key, (v,), None, (k,), None if white.local is None else white.local[:, i * k : (i + 1) * k]), k, self.init_iter, seed=self.random_state) for i, v in enumerate(white.views)]
         cross = gram(white)
         ws = [own[0]]
         for i in range(1, len(own)):
             c = own[0] @ cross.block(0, i) @ own[i].T / cross.n
             order = _assign(-np.abs(c))
             ws.append(np.sign(c[np.arange(k), order])[:, None] * own[i][order])
+        return ws
+
+    def _maximise(self, white, ws, k):
         n_views, noise = len(ws), self.noise
 
         def moments(ws):
@@ -191,10 +219,7 @@ class MultiviewICA:
             else:
                 break
             ws, (loss, grads, curves) = new, found
-        self.means_ = g.means
-        self.individual_components_ = [m @ w.T for m, w in zip(maps, ws, strict=True)]
-        self.individual_mixing_ = [np.linalg.pinv(c).T for c in self.individual_components_]
-        return self
+        return ws
 
     def transform(self, mv, index=None):
         ids = list(range(len(self.means_))) if index is None else list(np.atleast_1d(index))
@@ -343,6 +368,14 @@ class AJIVE:
     def fit_transform(self, mv):
         return self.fit(mv).transform(mv)
 
+    def inverse_transform(self, joint: MultiviewFrame, individual: MultiviewFrame) -> MultiviewFrame:
+        """Joint and individual parts back to views: their sum and the mean; the frames share the key."""
+        names = [f"i{v}" for v in individual.views]
+        both = joint.df.join(individual.df.select(joint.key, *[F.col(v).alias(n) for v, n in zip(individual.views, names, strict=True)]), joint.key)
+        add = lambda a, b: a + b
+        views = [F.zip_with(F.zip_with(v, n, add), X.vector(m), add) for v, n, m in zip(joint.cols(), names, self.means_, strict=True)]
+        return replace(joint, df=both).with_views(views, self.dims_)
+
 
 def _wishart(n, d, rng):
     """A draw of G'G for Gaussian G (n x d)."""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+from dataclasses import replace
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -45,7 +48,7 @@ class Net:
 
 
 def cca_loss(h1, h2, k=None, ridge=1e-3):
-    """Minus the sum of the top k canonical correlations (all: the trace norm), and its gradients (Andrew et al. 2013)."""
+    """Minus the sum of the top k canonical correlations (all: minus the root of the sum of their squares), and its gradients (Andrew et al. 2013)."""
     n = len(h1)
     a, b = h1 - h1.mean(0), h2 - h2.mean(0)
     s11, s22, s12 = a.T @ a / (n - 1) + ridge * np.eye(a.shape[1]), b.T @ b / (n - 1) + ridge * np.eye(b.shape[1]), a.T @ b / (n - 1)
@@ -57,17 +60,31 @@ def cca_loss(h1, h2, k=None, ridge=1e-3):
     r1, r2 = root(s11), root(s22)
     u, d, vt = np.linalg.svd(r1 @ s12 @ r2, full_matrices=False)
     u, d, vt = u[:, :k], d[:k], vt[:k]
-    d12 = r1 @ u @ vt @ r2
-    d11, d22 = -0.5 * r1 @ u * d @ u.T @ r1, -0.5 * r2 @ vt.T * d @ vt @ r2
+    value = float(d.sum() if k else np.sqrt((d * d).sum()))
+    w = np.ones_like(d) if k else d / max(value, 1e-300)  # derivatives by the correlations
+    d12 = r1 @ (u * w) @ vt @ r2
+    d11, d22 = -0.5 * r1 @ (u * (w * d)) @ u.T @ r1, -0.5 * r2 @ (vt.T * (w * d)) @ vt @ r2
     g1 = (2 * a @ d11 + b @ d12.T) / (n - 1)
     g2 = (2 * b @ d22 + a @ d12) / (n - 1)
-    return -float(d.sum()), -(g1 - g1.mean(0)), -(g2 - g2.mean(0))
+    return -value, -(g1 - g1.mean(0)), -(g2 - g2.mean(0))
+
+
+@contextmanager
+def _shuffled(mv: MultiviewFrame, seed: int):
+    """The frame in the order of a hash of the key, sorted once for all epochs."""
+    df = mv.df.orderBy(F.xxhash64(F.col(mv.key), F.lit(seed)), mv.key).select(*mv.keep(), *mv.views)
+    with replace(mv, df=df).pinned() as out:
+        yield out
 
 
-def _batches(mv: MultiviewFrame, size: int, seed: int):
-    """Arrays of the views, in the order of a hash of the key, ``size`` rows at a time; the driver holds one batch."""
-    rows, held = mv.df.orderBy(F.xxhash64(F.col(mv.key), F.lit(seed)), mv.key).select(*mv.views).toLocalIterator(), []
-    for r in rows:
+def _batches(mv: MultiviewFrame, size: int):
+    """Arrays of the views, ``size`` rows at a time; of a frame that isn't held here, the driver takes a partition at a time."""
+    if mv.local is not None:
+        for i in range(0, len(mv.local), size):
+            yield np.split(mv.local[i : i + size], np.cumsum(mv.dims)[:-1], axis=1)
+        return
+    held = []
+    for r in mv.df.select(*mv.views).toLocalIterator(prefetchPartitions=True):
         held.append(r)
         if len(held) == size:
             yield [np.array([x[v] for x in held]) for v in mv.views]
@@ -115,23 +132,24 @@ class DCCA:
         self.nets_ = [Net([d, *s], rng) for d, s in zip(mv.dims, sizes, strict=True)]
         cache = [[np.zeros_like(p) for p in net.params] for net in self.nets_]
         last = np.inf
-        for _ in range(self.epoch_num):
-            losses = []
-            for xs in _batches(mv, self.batch_size, self.random_state):
-                if len(xs[0]) < 2:
-                    continue
-                hs = [net.forward(x) for net, x in zip(self.nets_, xs, strict=True)]
-                loss, *gs = cca_loss(*hs, None if self.use_all else self.n_components)
-                losses.append(loss)
-                for net, g, held in zip(self.nets_, gs, cache, strict=True):
-                    for p, d, c in zip(net.params, net.backward(g)[0], held, strict=True):
-                        d = d + self.reg_par * p
-                        c += 0.01 * (d * d - c)
-                        p -= self.learning_rate * d / (np.sqrt(c) + 1e-8)
-            now = float(np.mean(losses))
-            if last - now <= self.tolerance:
-                break
-            last = now
+        with _shuffled(mv, self.random_state) as rows:
+            for _ in range(self.epoch_num):
+                losses = []
+                for xs in _batches(rows, self.batch_size):
+                    if len(xs[0]) < 2:
+                        continue
+                    hs = [net.forward(x) for net, x in zip(self.nets_, xs, strict=True)]
+                    loss, *gs = cca_loss(*hs, None if self.use_all else self.n_components)
+                    losses.append(loss)
+                    for net, g, held in zip(self.nets_, gs, cache, strict=True):
+                        for p, d, c in zip(net.params, net.backward(g)[0], held, strict=True):
+                            d = d + self.reg_par * p
+                            c += 0.01 * (d * d - c)
+                            p -= self.learning_rate * d / (np.sqrt(c) + 1e-8)
+                now = float(np.mean(losses))
+                if last - now <= self.tolerance:
+                    break
+                last = now
         self.loss_ = now
         self.cca_ = CCA(self.n_components, regs=1e-4).fit(self._outputs(mv))
         return self
@@ -163,26 +181,27 @@ class SplitAE:
         first = [[np.zeros_like(p) for p in n.params] for n in nets]
         second = [[np.zeros_like(p) for p in n.params] for n in nets]
         step = 0
-        for _ in range(self.training_epochs):
-            losses = []
-            for xs in _batches(mv, self.batch_size, self.random_state):
-                z = enc.forward(xs[0])
-                grads, gz, loss = [None], 0, 0.0
-                for dec, x in zip(decs, xs, strict=True):
-                    e = dec.forward(z) - x
-                    loss += float((e * e).mean())
-                    g, back = dec.backward(2 * e / e.size)
-                    grads.append(g)
-                    gz = gz + back
-                grads[0] = enc.backward(gz)[0]
-                losses.append(loss)
-                step += 1
-                for net, g, a, b in zip(nets, grads, first, second, strict=True):
-                    for p, d, m, v in zip(net.params, g, a, b, strict=True):
-                        m += 0.1 * (d - m)
-                        v += 0.001 * (d * d - v)
-                        p -= self.learning_rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-            self.loss_ = float(np.mean(losses))
+        with _shuffled(mv, self.random_state) as rows:
+            for _ in range(self.training_epochs):
+                losses = []
+                for xs in _batches(rows, self.batch_size):
+                    z = enc.forward(xs[0])
+                    grads, gz, loss = [None], 0, 0.0
+                    for dec, x in zip(decs, xs, strict=True):
+                        e = dec.forward(z) - x
+                        loss += float((e * e).mean())
+                        g, back = dec.backward(2 * e / e.size)
+                        grads.append(g)
+                        gz = gz + back
+                    grads[0] = enc.backward(gz)[0]
+                    losses.append(loss)
+                    step += 1
+                    for net, g, a, b in zip(nets, grads, first, second, strict=True):
+                        for p, d, m, v in zip(net.params, g, a, b, strict=True):
+                            m += 0.1 * (d - m)
+                            v += 0.001 * (d * d - v)
+                            p -= self.learning_rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+                self.loss_ = float(np.mean(losses))
         return self
 
     def transform(self, mv):

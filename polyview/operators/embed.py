@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..frame import MultiviewFrame
 from ..functions import exprs as X
 from ..functions.linalg import as_list, blocks, chi2_sf, eigh, f_sf, fix_signs, n_components, profile_elbows, svd_from_gram
-from ..plans.gram import Gram, gram, matrices, summed
+from ..plans.gram import Gram, gram, merged, summed
 
 
 def shrinkage(g: Gram, view: int, reg, fourth: float | None = None) -> np.ndarray:
@@ -115,6 +115,19 @@ class MCCA:
     def fit_transform(self, mv):
         return self.fit(mv).transform(mv)
 
+    def transform_view(self, mv: MultiviewFrame, view: int) -> MultiviewFrame:
+        """Scores of a frame that has view number ``view`` only."""
+        return mv.with_views([X.project(mv.cols()[0], self.loadings_[view], self.means_[view])], [self.n_components_])
+
+    def inverse_transform_view(self, scores: MultiviewFrame, view: int) -> MultiviewFrame:
+        """View number ``view`` from its scores."""
+        return scores.with_views([F.zip_with(X.project(scores.cols()[0], self.loadings_[view].T), X.vector(self.means_[view]), lambda a, b: a + b)], [self.dims_[view]])
+
+    def score_view(self, mv: MultiviewFrame, view: int) -> float:
+        """Sum of squared reconstruction errors of a frame that has view number ``view`` only."""
+        back = self.inverse_transform_view(self.transform_view(mv, view), view).df.select(mv.key, F.col("v0").alias("back"))
+        return mv.df.join(back, mv.key).agg(F.sum(X.sqdist(mv.cols()[0], F.col("back")))).first()[0]
+
     def inverse_transform(self, scores: MultiviewFrame):
         back = [F.zip_with(X.project(s, m.T), X.vector(mean), lambda a, b: a + b) for s, m, mean in zip(scores.cols(), self.loadings_, self.means_, strict=True)]
         return scores.with_views(back, self.dims_)
@@ -204,10 +217,16 @@ class GCCA:
         return profile_elbows(top, self.n_elbows)[-1]
 
     def fit(self, mv: MultiviewFrame):
+        return self.partial_fit(mv, reset=True)
+
+    def partial_fit(self, mv: MultiviewFrame, reset: bool = False, multiview_step: bool = True):
+        """Take in more rows: Gram matrices add up, so the result is that of all rows at once. Without ``multiview_step`` rows are only taken in."""
         mv = mv.checked()
         if len(mv.views) < 2:
             warnings.warn("fewer than two views", stacklevel=2)
-        g = gram(self.row_scaled(mv))
+        g = self.gram_ = merged(None if reset else getattr(self, "gram_", None), gram(self.row_scaled(mv)))
+        if not multiview_step:
+            return self
         parts = []
         for i, d in enumerate(g.dims):
             s, v = svd_from_gram(g.block(i, i))
@@ -249,16 +268,46 @@ def select_dimension(x, n_components=None, n_elbows=2, threshold=None):
     return out, [float(np.sort(np.asarray(x, float))[::-1][i - 1]) for i in out]
 
 
+#: Precomputed distances are n x n; more rows than this is an error, not a sample.
+MAX_DISTANCE_ROWS = 5000
+
+
 class MVMDS:
     """Multi-view scaling by stepwise common components of the doubly centred squared distances.
 
     For Euclidean views the matrix of view i is Xc Xc', so every iterate is H a with H the views side by
     side; the whole iteration runs on the coefficients a.  ``fit_transform`` gives coordinates of the
-    rows it was fitted on.
+    rows it was fitted on.  With dissimilarity 'precomputed' a view is a square matrix of distances, its
+    columns in the order of the key; these n x n matrices go to the driver, at most MAX_DISTANCE_ROWS rows.
     """
 
-    def __init__(self, n_components=2, num_iter=15):
-        self.n_components, self.num_iter = n_components, num_iter
+    def __init__(self, n_components=2, num_iter=15, dissimilarity="euclidean"):
+        if dissimilarity not in ("euclidean", "precomputed"):
+            raise ValueError("dissimilarity must be euclidean or precomputed")
+        self.n_components, self.num_iter, self.dissimilarity = n_components, num_iter, dissimilarity
+
+    def _fit_distances(self, mv) -> DataFrame:
+        mv = mv.checked(multiview=True)
+        n = mv.df.count()
+        if n > MAX_DISTANCE_ROWS or any(d != n for d in mv.dims):
+            raise ValueError(f"views must be square matrices of at most {MAX_DISTANCE_ROWS} rows")
+        rows = mv.df.select(*mv.keep(), *mv.views).orderBy(mv.key).toArrow()
+        centre = np.eye(n) - 1 / n
+        bs = [-0.5 * centre @ (rows[v].combine_chunks().flatten().to_numpy().reshape(n, n) ** 2) @ centre for v in mv.views]
+        _, starts = eigh(sum(bs), rank=min(self.n_components, n))
+        done = np.zeros((n, 0))
+        for q in starts.T:
+            weights = lambda x: [max(float(x @ b @ x), 1e-4) for b in bs]
+            mu = weights(q)
+            for _ in range(self.num_iter):
+                q = sum(b @ q * (n / m) for b, m in zip(bs, mu, strict=True))
+                q = q - done @ (done.T @ q)
+                q = q / max(np.linalg.norm(q), 1e-300)
+                mu = weights(q)
+            done = np.column_stack([done, q])
+        self.embedding_ = fix_signs(done)
+        out = rows.select(mv.keep()).append_column("mds", pa.array(self.embedding_.tolist(), pa.list_(pa.float64())))
+        return mv.df.sparkSession.createDataFrame(out)
 
     def fit(self, mv):
         mv = mv.checked(multiview=True)
@@ -289,6 +338,8 @@ class MVMDS:
         return self
 
     def fit_transform(self, mv) -> DataFrame:
+        if self.dissimilarity == "precomputed":
+            return self._fit_distances(mv)
         self.fit(mv)
         parts = [X.project(v, self.coefficients_[s], m) for v, s, m in zip(mv.cols(), self.at_, self.means_, strict=True)]
         out = parts[0]
@@ -327,7 +378,9 @@ class KMCCA:
         return lambda x, y: f(x, y, **params)
 
     def _pivots(self, mv, view):
-        one, kernel = MultiviewFrame(mv.df, mv.key, (mv.views[view],), None, (mv.dims[view],)), self._kernel(view)
+        start = sum(mv.dims[:view])
+        held = None if mv.local is None else mv.local[:, start : start + mv.dims[view]]
+        one, kernel = MultiviewFrame(mv.df, mv.key, (mv.views[view],), None, (mv.dims[view],), held), self._kernel(view)
         pivots, low, first = np.zeros((0, mv.dims[view])), np.zeros((0, 0)), None
 
         def residuals(x):
@@ -378,7 +431,8 @@ class KMCCA:
         if self.diag_mode not in ("A", "B", "C"):
             raise ValueError("diag_mode must be A, B or C")
         self.n_views_ = len(mv.views)
-        self.pivots_ = [self._pivots(mv, i) for i in range(self.n_views_)]
+        with mv.pinned() as held:
+            self.pivots_ = [self._pivots(held, i) for i in range(self.n_views_)]
         f = self.features(mv)
         g = gram(f)
         if not self.center:

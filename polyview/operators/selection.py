@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import math
 import time
 from dataclasses import replace
@@ -52,20 +53,36 @@ def folds(df: DataFrame, key: str, k: int = 5, seed: int = 0) -> DataFrame:
     return df.withColumn("fold", (portable_key(F.col(key), seed) % k).cast("int"))
 
 
-def cross_validate(estimator, mv: MultiviewFrame, k: int = 5, seed: int = 0) -> dict[str, list[float]]:
-    out: dict[str, list[float]] = {"fit_time": [], "score_time": [], "test_score": []}
+def cross_validate(estimator, mv: MultiviewFrame, k: int = 5, seed: int = 0, scoring=None, return_train_score: bool = False, return_estimator: bool = False) -> dict[str, list]:
+    """Times and scores of each fold. ``scoring``: a function of (estimator, frame), or a dict of them by name; the estimator's own score otherwise."""
+    scorers = scoring if isinstance(scoring, dict) else {"score": scoring or (lambda e, x: e.score(x))}
+    out: dict[str, list] = {"fit_time": [], "score_time": [], **{f"test_{name}": [] for name in scorers}}
+    if return_train_score:
+        out |= {f"train_{name}": [] for name in scorers}
+    if return_estimator:
+        out["estimator"] = []
     df = folds(mv.df, mv.key, k, seed)
     for i in range(k):
         train, test = (replace(mv, df=df.where(c).drop("fold")) for c in (F.col("fold") != i, F.col("fold") == i))
-        t = time.time()
-        estimator.fit(train)
+        own, t = copy.deepcopy(estimator), time.time()
+        own.fit(train)
         out["fit_time"].append(time.time() - t)
         t = time.time()
-        out["test_score"].append(estimator.score(test))
+        for name, f in scorers.items():
+            out[f"test_{name}"].append(f(own, test))
         out["score_time"].append(time.time() - t)
+        if return_train_score:
+            for name, f in scorers.items():
+                out[f"train_{name}"].append(f(own, train))
+        if return_estimator:
+            out["estimator"].append(own)
     return out
 
 
+def mean_squared_error(df: DataFrame, a: str, b: str) -> float:
+    return df.agg(F.avg((F.col(a) - F.col(b)) * (F.col(a) - F.col(b)))).first()[0]
+
+
 def accuracy(df: DataFrame, a: str, b: str) -> float:
     return df.agg(F.avg((F.col(a) == F.col(b)).cast("double"))).first()[0]
 

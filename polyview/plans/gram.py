@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,8 @@ def matrices(batch: pa.RecordBatch) -> np.ndarray:
 def summed(mv: MultiviewFrame, part: Callable[[np.ndarray], list[np.ndarray]], merge: Callable[[list, list], list] | None = None, fan_in: int = 16):
     """Reduce arrays that ``part`` makes from the rows of each batch: per partition, then in ``fan_in`` groups, then on the driver."""
     merge = merge or (lambda a, b: [x + y for x, y in zip(a, b, strict=True)])
+    if mv.local is not None:
+        return reduce(merge, (part(mv.local[i : i + 10_000]) for i in range(0, len(mv.local), 10_000)))
 
     def encode(arrays):
         return [a.astype("<f8").tobytes() for a in arrays], [list(a.shape) for a in arrays]
@@ -98,3 +101,11 @@ def gram(mv: MultiviewFrame) -> Gram:
     mv = mv if mv.dims else mv.checked()
     n, mean, scatter, fourth = summed(mv, part, merge)
     return Gram(int(n[0]), mean, scatter, mv.dims, float(fourth[0]))
+
+
+def merged(a: Gram | None, b: Gram) -> Gram:
+    """The Gram matrix of the rows of both."""
+    if a is None:
+        return b
+    n, d = a.n + b.n, b.mean - a.mean
+    return Gram(n, a.mean + d * (b.n / n), a.scatter + b.scatter + np.outer(d, d) * (a.n * b.n / n), a.dims, a.fourth + b.fourth)

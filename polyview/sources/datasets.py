@@ -46,8 +46,8 @@ def load_nutrimouse(spark: SparkSession, folder: str) -> MultiviewFrame:
     return MultiviewFrame(out, "sample_id", ("v0", "v1"), "y")
 
 
-def load_multifeature(spark: SparkSession, paths: list[str], select_labeled="all", views="all") -> MultiviewFrame:
-    """Feature files (last column = label) with rows in the same order; keep some labels and views."""
+def load_multifeature(spark: SparkSession, paths: list[str], select_labeled="all", views="all", shuffle: bool = False, random_state: int = 0) -> MultiviewFrame:
+    """Feature files (last column = label) with rows in the same order; keep some labels and views. ``shuffle`` numbers the rows anew, in the order of a hash."""
     out, names = None, []
     for i in range(len(paths)) if views == "all" else views:
         cols, df = _numbered_csv(spark, paths[i])
@@ -56,6 +56,8 @@ def load_multifeature(spark: SparkSession, paths: list[str], select_labeled="all
         names.append(f"v{len(names)}")
     if select_labeled != "all":
         out = out.where(F.col("y").isin(list(select_labeled)))
+    if shuffle:
+        out = out.withColumn("sample_id", (F.row_number().over(Window.orderBy(F.xxhash64("sample_id", F.lit(random_state)), "sample_id")) - 1).cast("long"))
     return MultiviewFrame(out, "sample_id", tuple(names), "y")
 
 
@@ -69,8 +71,8 @@ def _normals(key, n: int, salt: int):
     return F.array(*[normal(key, salt * 1000 + j) for j in range(n)])
 
 
-def make_gaussian_mixture(spark: SparkSession, n_samples: int, centers, covariances, transform="linear", noise=None, noise_dims=None, class_probs=None, seed: int = 0) -> MultiviewFrame:
-    """View 0 is a Gaussian mixture, view 1 a rotation ('linear'), square ('poly'), sine ('sin') or ``transform(column)`` of it; ``noise`` is a variance."""
+def make_gaussian_mixture(spark: SparkSession, n_samples: int, centers, covariances, transform="linear", noise=None, noise_dims=None, class_probs=None, seed: int = 0, return_latents: bool = False):
+    """View 0 is a Gaussian mixture, view 1 a rotation ('linear'), square ('poly'), sine ('sin') or ``transform(column)`` of it; ``noise`` is a variance. With ``return_latents`` also the frame of the mixture without noise."""
     centers, covs = np.atleast_2d(centers), np.asarray(covariances, float)
     d, k = centers.shape[1], len(centers)
     covs = np.broadcast_to(covs, (k, d, d)) if covs.ndim == 2 else covs
@@ -102,12 +104,12 @@ def make_gaussian_mixture(spark: SparkSession, n_samples: int, centers, covarian
         views = [F.zip_with(x, _normals(key, d, seed + 10 + i), lambda a, e: a + e * float(np.sqrt(noise))) for i, x in enumerate(views)]
     if noise_dims:
         views = [F.concat(x, _normals(key, noise_dims, seed + 20 + i)) for i, x in enumerate(views)]
-    df = df.select("sample_id", "y", views[0].alias("v0"), views[1].alias("v1"))
-    return MultiviewFrame(df, "sample_id", ("v0", "v1"), "y", (d + (noise_dims or 0),) * 2)
+    out = MultiviewFrame(df.select("sample_id", "y", views[0].alias("v0"), views[1].alias("v1")), "sample_id", ("v0", "v1"), "y", (d + (noise_dims or 0),) * 2)
+    return (out, MultiviewFrame(df.select("sample_id", "y", v.alias("v0")), "sample_id", ("v0",), "y", (d,))) if return_latents else out
 
 
-def sample_joint_factor_model(spark: SparkSession, n_samples: int, n_features: list[int], joint_rank=1, noise_std=1.0, m=1.5, seed: int = 0) -> MultiviewFrame:
-    """X_b = U diag(s) W_b' + noise; columns of U are normals made orthonormal through their Gram matrix."""
+def sample_joint_factor_model(spark: SparkSession, n_samples: int, n_features: list[int], joint_rank=1, noise_std=1.0, m=1.5, seed: int = 0, return_decomp: bool = False):
+    """X_b = U diag(s) W_b' + noise; columns of U are normals made orthonormal through their Gram matrix. With ``return_decomp`` also (frame of U, s, list of W_b)."""
     from ..plans.gram import gram
 
     rng, key = np.random.default_rng(seed), F.col("sample_id")
@@ -115,11 +117,13 @@ def sample_joint_factor_model(spark: SparkSession, n_samples: int, n_features: l
     g = gram(MultiviewFrame(base, "sample_id", ("v0",), None, (joint_rank,)))
     low = np.linalg.inv(np.linalg.cholesky(g.raw)).T
     s = np.arange(1, joint_rank + 1) * m * noise_std * (n_samples * max(n_features)) ** 0.25
-    views = []
+    views, ws = [], []
     for i, d in enumerate(n_features):
         w = rand_orthog(d, joint_rank, rng)
+        ws.append(w)
         views.append(F.zip_with(X.project(F.col("v0"), low * s @ w.T), _normals(key, d, seed + 2 + i), lambda a, e: a + e * float(noise_std)).alias(f"v{i}"))
-    return MultiviewFrame(base.select("sample_id", *views), "sample_id", tuple(f"v{i}" for i in range(len(n_features))), None, tuple(n_features))
+    out = MultiviewFrame(base.select("sample_id", *views), "sample_id", tuple(f"v{i}" for i in range(len(n_features))), None, tuple(n_features))
+    return (out, (MultiviewFrame(base.select("sample_id", X.project(F.col("v0"), low).alias("v0")), "sample_id", ("v0",), None, (joint_rank,)), s, ws)) if return_decomp else out
 
 
 def load_embeddings(spark: SparkSession, sf_dir: str, widths=(32, 32)) -> MultiviewFrame:

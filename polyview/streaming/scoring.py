@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-import numpy as np
 from pyspark.sql import DataFrame
 
 from ..frame import MultiviewFrame
-from ..plans.gram import Gram, gram
+from ..plans.gram import gram, merged
 
 
 def score_stream(model, stream: DataFrame, like: MultiviewFrame) -> DataFrame:
@@ -26,10 +25,4 @@ class RunningGram:
     def update(self, batch: DataFrame, _epoch: int = 0) -> None:
         if batch.isEmpty():
             return
-        new = gram(replace(self.like, df=batch))
-        if self.gram is None:
-            self.gram = new
-            return
-        a, b = self.gram, new
-        n, d = a.n + b.n, b.mean - a.mean
-        self.gram = Gram(n, a.mean + d * (b.n / n), a.scatter + b.scatter + np.outer(d, d) * (a.n * b.n / n), a.dims, a.fourth + b.fourth)
+        self.gram = merged(self.gram, gram(replace(self.like, df=batch)))
