@@ -62,7 +62,9 @@ class MCCA:
         self.i_mcca_method, self.multiview_output = i_mcca_method, multiview_output
 
     def fit(self, mv: MultiviewFrame):
-        mv = mv.checked(multiview=True, enforce_views=self.n_views_)
+        return self._fit(mv.checked(multiview=True, enforce_views=self.n_views_))
+
+    def _fit(self, mv: MultiviewFrame):
         g = gram(mv)
         if not self.center:
             g = Gram(g.n, np.zeros_like(g.mean), g.raw, g.dims, g.fourth)
@@ -182,7 +184,7 @@ class CCA(MCCA):
         mv = mv.checked(enforce_views=2)
         if not isinstance(self.n_components, int) or not 1 <= self.n_components <= min(mv.dims):
             raise ValueError("n_components must be an integer from 1 to the smaller width")
-        return super().fit(mv)
+        return self._fit(mv)
 
     def stats(self, scores: MultiviewFrame, stat: str | None = None):
         out = cca_stats(np.abs(self.canon_corrs(scores)), scores.df.count(), *self.dims_)

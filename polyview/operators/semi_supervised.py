@@ -124,14 +124,16 @@ def queue_of(mv: MultiviewFrame, most: int, seed: int) -> list[list[np.ndarray]]
 
 def map_views(mv: MultiviewFrame, out: str, kind, f) -> DataFrame:
     """Key, label and a column ``out`` of Spark type ``kind`` by f(list of arrays) -> Arrow array, a map over batches."""
-    keep = mv.keep()
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    keep, arrow = mv.keep(), to_arrow_type(kind)
     n = len(keep)
 
     def run(batches):
         for b in batches:
             xs = [c.flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) for c in b.columns[n:]]
             if b.num_rows:
-                yield pa.RecordBatch.from_arrays([*b.columns[:n], f(xs)], [*keep, out])
+                yield pa.RecordBatch.from_arrays([*b.columns[:n], f(xs).cast(arrow)], [*keep, out])
 
     schema = T.StructType([mv.df.schema[c] for c in keep] + [T.StructField(out, kind)])
     return mv.df.select(*keep, *mv.views).mapInArrow(run, schema)

@@ -271,3 +271,151 @@ def test_registered_estimators_run_the_whole_job(monkeypatch, name):
     with pytest.raises(Made) as made:
         q.QUERIES[name](None, None)
     assert not made.value.args[0] & {"max_iter", "n_init", "num_iter", "epoch_num", "training_epochs", "unlabeled_pool_size", "tol", "max_rank", "patience"}
+
+
+class NearestMeans:
+    """A plain classifier for co-training: the nearer class mean, with the share of its distance as probability."""
+
+    def fit(self, x, y):
+        self.classes = sorted(set(y.tolist()))
+        self.means = np.array([x[y == c].mean(0) for c in self.classes])
+        return self
+
+    def predict_proba(self, x):
+        d = np.exp(-((x[:, None] - self.means[None]) ** 2).sum(-1))
+        return (d + 1e-12) / (d + 1e-12).sum(1, keepdims=True)
+
+
+def test_co_training_with_other_estimators(spark):
+    spark.sparkContext.addPyFile(__file__)  # workers import the classifier from here
+    rng = np.random.default_rng(3)
+    y = np.arange(300) % 2
+    views = [rng.standard_normal((300, 3)) + 2 * y[:, None] for _ in range(2)]
+    part = frame(spark, views, [int(v) if i < 20 else None for i, v in enumerate(y)])
+    full = frame(spark, views, [int(v) for v in y])
+    for model in (semi.CTClassifier(num_iter=5, estimator1=NearestMeans()), semi.CTClassifier(num_iter=5, estimator2=NearestMeans())):
+        model.fit(part)
+        assert selection.accuracy(model.predict(full), "y", "prediction") > 0.9
+        assert all(np.isclose(sum(r.proba), 1) for r in model.predict_proba(full).collect())
+    with pytest.raises(AttributeError):
+        semi.CTClassifier(estimator1=object())
+    with pytest.raises(ValueError):
+        semi.CTClassifier(estimator1=NearestMeans(), max_labelled=5).fit(part)
+    t = [float(v) for v in views[0].sum(1)]
+    reg = semi.CTRegressor((3, 5), num_iter=2).fit(frame(spark, views[:1] * 2, [v if i < 60 else None for i, v in enumerate(t)]))
+    assert reg.predict(frame(spark, views[:1] * 2, t)).select(F.corr("y", "prediction")).first()[0] > 0.9
+
+
+def test_moments_of_large_means(spark):
+    x = np.array([[1e9 + v] for v in (0.0, 1, 2, 10, 11, 12)])
+    nb = semi.GaussianNB().fit(frame(spark, [x], [0, 0, 0, 1, 1, 1]))
+    assert np.allclose(nb.theta_[:, 0] - 1e9, [1, 11]) and np.allclose(nb.var_, 2 / 3, rtol=1e-6)
+
+
+def test_cross_validation_options(spark):
+    rng = np.random.default_rng(0)
+    y = np.arange(60) % 2
+    mv = frame(spark, [rng.standard_normal((60, 2)) + 3 * y[:, None]], [int(v) for v in y])
+    out = selection.cross_validate(compose.ViewClassifier(semi.GaussianNB()), mv, 3, scoring={"own": lambda e, m: e.score(m), "rows": lambda e, m: m.df.count()}, return_train_score=True, return_estimator=True)
+    assert sum(out["test_rows"]) == 60 and sum(out["train_rows"]) == 120 and min(out["train_own"]) > 0.9 and len(out["estimator"]) == 3
+    df = spark.createDataFrame([(1.0, 3.0), (2.0, 2.0)], "a double, b double")
+    assert selection.mean_squared_error(df, "a", "b") == 2.0
+
+
+def test_gcca_takes_in_rows_by_parts(spark, data):
+    mv = frame(spark, data)
+    whole = embed.GCCA(n_components=2).fit(mv)
+    parts = [frame(spark, [x[s] for x in data]) for s in (slice(0, 37), slice(37, None))]
+    step = embed.GCCA(n_components=2).partial_fit(parts[0], multiview_step=False)
+    assert not hasattr(step, "projections_")
+    step.partial_fit(parts[1])
+    for a, b in zip(whole.projections_, step.projections_, strict=True):
+        assert np.allclose(np.abs(a), np.abs(b), atol=1e-8)
+
+
+def test_mvmds_on_distances(spark, data):
+    xs = [x[:40] for x in data[:2]]
+    plain = local_rows(embed.MVMDS(2).fit_transform(frame(spark, xs)), "mds")
+    far = [np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)) for x in xs]
+    given = local_rows(embed.MVMDS(2, dissimilarity="precomputed").fit_transform(frame(spark, far)), "mds")
+    assert np.allclose(np.abs(plain), np.abs(given), atol=1e-6)
+    with pytest.raises(ValueError):
+        embed.MVMDS(2, dissimilarity="precomputed").fit_transform(frame(spark, xs))
+
+
+def local_rows(df, column):
+    return np.array([r[column] for r in df.orderBy("sample_id").collect()])
+
+
+def test_ajive_parts_add_up(spark):
+    rng = np.random.default_rng(2)
+    u = np.linalg.qr(rng.standard_normal((80, 3)))[0] * 20
+    xs = [np.outer(u[:, 0], rng.standard_normal(5)) + np.outer(u[:, i + 1], rng.standard_normal(5)) + 3 for i in range(2)]
+    mv = frame(spark, xs)
+    model = decomposition.AJIVE([2, 2], 1, [1, 1], random_state=0).fit(mv)
+    assert model.joint_rank_ == 1
+    back = local(model.inverse_transform(model.transform(mv), model.individual(mv)))
+    assert all(np.allclose(a, b, atol=1e-6) for a, b in zip(back, xs, strict=True))
+
+
+def test_ica_starts(spark):
+    rng = np.random.default_rng(5)
+    s = rng.laplace(size=(400, 2))
+    xs = [s @ rng.standard_normal((2, 2)) + 0.01 * rng.standard_normal((400, 2)) for _ in range(2)]
+    mv = frame(spark, xs)
+    found = [decomposition.MultiviewICA(2, init=i, multiview_output=False).fit(mv) for i in ("permica", "groupica", [np.eye(2)] * 2)]
+    for model in found[:2]:
+        c = np.abs(np.corrcoef(local(model.transform(mv))[0].T, s.T)[:2, 2:])
+        assert (c.max(axis=1) > 0.95).all()
+    with pytest.raises(ValueError):
+        decomposition.MultiviewICA(2, init="other")
+    with pytest.raises(ValueError):
+        decomposition.MultiviewICA(2, init=[np.eye(3)] * 2).fit(mv)
+
+
+def test_single_views_and_model_files(spark, data, tmp_path):
+    from polyview.sources import models
+
+    mv = frame(spark, data)
+    model = embed.MCCA(2).fit(mv)
+    models.save_model(spark, model, str(tmp_path / "m"))
+    again = models.load_model(spark, str(tmp_path / "m"))
+    one = MultiviewFrame(mv.df.select("sample_id", F.col("v1").alias("v0")), "sample_id", ("v0",), None, mv.dims[1:2])
+    scores = again.transform_view(one, 1)
+    assert np.allclose(local(scores)[0], local(model.transform(mv))[1])
+    back = local(again.inverse_transform_view(scores, 1))[0]
+    assert np.isclose(again.score_view(one, 1), ((back - data[1]) ** 2).sum()) and np.isclose(again.score_view(one, 1), model.score(mv)[1])
+
+
+def test_cca_loss_of_all_correlations():
+    rng = np.random.default_rng(4)
+    h1, h2 = rng.standard_normal((30, 3)), rng.standard_normal((30, 3))
+    _, g1, g2 = deep.cca_loss(h1, h2)
+    for side, g in ((0, g1), (1, g2)):
+        e = np.zeros_like(h1)
+        e[4, 1] = 1e-5
+        at = lambda sign: deep.cca_loss(*(h + sign * e * (i == side) for i, h in enumerate((h1, h2))))[0]
+        assert np.isclose((at(1) - at(-1)) / 2e-5, g[4, 1], rtol=1e-3)
+
+
+def test_frames_too_large_for_the_driver_are_cached(spark, data, monkeypatch):
+    from polyview import frame as module
+
+    mv = frame(spark, data[:2])
+    small = cluster.MultiviewKMeans(2, random_state=1).fit(mv)
+    monkeypatch.setattr(module, "LOCAL_BYTES", 0)
+    large = cluster.MultiviewKMeans(2, random_state=1).fit(mv)
+    assert all(np.allclose(a, b) for a, b in zip(small.centroids_, large.centroids_, strict=True))
+    with mv.checked().pinned() as held:
+        assert held.local is None and held.df.is_cached
+    d = deep.SplitAE(8, 1, 2, training_epochs=2).fit(mv)
+    monkeypatch.undo()
+    assert np.isclose(d.loss_, deep.SplitAE(8, 1, 2, training_epochs=2).fit(mv).loss_)
+
+
+def test_simulators_return_what_they_drew(spark):
+    mv, latent = datasets.make_gaussian_mixture(spark, 50, [[0, 0]], np.eye(2), noise=0.01, return_latents=True)
+    assert np.abs(local(mv)[0] - local(latent)[0]).max() < 1
+    mv, (u, s, ws) = datasets.sample_joint_factor_model(spark, 60, [5, 4], 2, noise_std=1e-6, return_decomp=True)
+    for x, w in zip(local(mv), ws, strict=True):
+        assert np.allclose(x, local(u)[0] * s @ w.T, atol=1e-4)
