@@ -18,7 +18,7 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder under the one that driver and executors share (spark.checkpoint.dir).
+    """A fresh folder under the one that driver and executors share (spark.checkpoint.dir); it goes when the driver ends.
 
     Where the setting is absent a temporary folder is used if all of Spark runs in this process, as in
     tests; on a cluster, whose executors would not see that folder, this raises.
@@ -31,7 +31,10 @@ def shared_dir(spark: SparkSession) -> str:
         root = tempfile.mkdtemp(prefix="polyview-")
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/pv-{uuid.uuid4().hex}"
+    folder = f"{root.rstrip('/')}/pv-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
 
 
 def durable(df: DataFrame, compression: str = "zstd") -> DataFrame:

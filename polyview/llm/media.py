@@ -92,5 +92,5 @@ def query(spark, sf_dir: str) -> DataFrame:
     return read.select(
         F.col("id.doc_id").alias("doc_id"), F.col("id.n").alias("n_bytes"), size.cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
         F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"),
-        F.concat(F.lit("frames="), F.col("frames").cast("string"), F.lit(";clips="), clips).alias("feature"),
+        F.concat(F.lit("frames="), F.col("frames").cast("string"), F.lit(";clips="), clips).alias("feature"), F.size("clips").cast("long").alias("n_clips"),
     )
