@@ -258,6 +258,38 @@ def test_shots_at_a_change_of_scene():
     assert avi.shots(hist[:1]) == [(0, 1)] and avi.shots(hist[:0]) == []
 
 
+def plain_clips(payload, rows=16, width=64, radius=4):
+    """Clips of a payload by loops over its grey frames: (first frame, frames, mean level)."""
+    frames = [payload[i : i + rows * width] for i in range(0, len(payload), rows * width)]
+    hist = [[sum(1 for x in f if x // 16 == b) / len(f) for b in range(16)] for f in frames]
+    d = [sum(abs(x - y) for x, y in zip(a, b, strict=True)) for a, b in zip(hist, hist[1:], strict=False)]
+    cuts = [0]
+    for i, x in enumerate(d):
+        near = [d[j] for j in range(max(0, i - radius), min(len(d), i + radius + 1)) if j != i]
+        mean = sum(near) / max(len(near), 1)
+        dev = math.sqrt(max(sum(v * v for v in near) / max(len(near), 1) - mean * mean, 0))
+        if x >= 0.3 and x > mean + 2 * dev and x >= (d[i - 1] if i else 0) and x > (d[i + 1] if i + 1 < len(d) else 0):
+            cuts.append(i + 1)
+    cuts.append(len(frames))
+    level = lambda h: sum(v * (16 * b + 8) for b, v in enumerate(h))
+    return [(a, b - a, sum(map(level, hist[a:b])) / (b - a)) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def test_clips_against_plain_loops(spark):
+    rng = random.Random(7)
+    scene = lambda n: bytes(rng.choice(rng.choice([b"aeiou nrst", b"0123456789", b"ABCDEF{}~"])) if rng.random() < 0.02 else c for c in bytes(rng.choice(b"\x20\x61\x30\xc3") for _ in range(1)) * n)
+    payloads = [b"".join(scene(rng.randint(500, 9000)) for _ in range(rng.randint(1, 9))) for _ in range(25)] + [b"", b"x"]
+    df = spark.createDataFrame([(i, bytearray(p)) for i, p in enumerate(payloads)], "id int, payload binary")
+    got = defaultdict(list)
+    for r in media.clip_rows(media.read_media(media.store_media(df))).orderBy("id", "clip").collect():
+        assert (r.start_ms, r.end_ms) == (r.first_frame * 40, (r.first_frame + r.frames) * 40)
+        got[r.id].append((r.first_frame, r.frames, r.level))
+    for i, p in enumerate(payloads):
+        want = plain_clips(media.padded(p))
+        assert [x[:2] for x in got[i]] == [x[:2] for x in want] and np.allclose([x[2] for x in got[i]], [x[2] for x in want], atol=1e-3)
+    assert any(len(x) > 2 for x in got.values())
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 
@@ -360,6 +392,42 @@ def test_language_id(spark, docs):
     assert langid.fit(docs.limit(0)) is None and langid.predict(docs, None).where("lang_pred != 'und'").count() == 0
 
 
+def plain_gru(m, data, size=64):
+    """Pooled probabilities of a text, one byte after another."""
+    h, out = m.rec.shape[2], np.zeros(len(m.langs))
+    sigmoid2 = lambda v: (1 + np.tanh(v)) / 2
+    for at in range(0, len(data), size):
+        window, states = data[at : at + size], []
+        for d in (0, 1):
+            now, own = np.zeros(h), {}
+            for t in range(len(window)) if d == 0 else reversed(range(len(window))):
+                a, u = m.emb[d][window[t]].astype(float), m.rec[d].astype(float) @ now
+                z, r = sigmoid2(a[:h] + u[:h]), sigmoid2(a[h : 2 * h] + u[h : 2 * h])
+                c = np.tanh(a[2 * h :] + r * (u[2 * h :] + m.bias[d][:, 0]))
+                now = z * now + (1 - z) * c
+                own[t] = now
+            states.append(own)
+        for t in range(len(window)):
+            x = m.out.astype(float) @ np.concatenate([states[0][t], states[1][t]]) + m.off[:, 0]
+            e = np.exp(x - x.max())
+            out += e / e.sum()
+    return out / max(len(data), 1)
+
+
+def test_gru_pools_as_a_plain_loop():
+    rng = np.random.default_rng(1)
+    m = langid.BiGRU.start(["a", "b", "c"], 5, rng)
+    m.bias += 0.3
+    # the padding of a last window is input of its backward states, so the plain loop takes whole windows
+    texts = [b"x", bytes(rng.integers(0, 256, 63).astype(np.uint8)), bytes(rng.integers(0, 256, 200).astype(np.uint8)), b"", "čeština a němčina".encode() * 9]
+    got = langid.pool(m, texts, width=2)
+    for t, p in zip(texts, got, strict=True):
+        whole = len(t) // 64 * 64
+        if whole:
+            assert np.allclose(langid.label_bytes(m, t)[:whole].mean(0), plain_gru(m, t[:whole]), atol=1e-4)
+        assert np.allclose(p, langid.label_bytes(m, t).mean(0) if t else 0, atol=1e-5)
+
+
 def test_gru_gradients():
     rng = np.random.default_rng(0)
     m = langid.BiGRU.start(["a", "b", "c"], 4, rng)
@@ -506,4 +574,87 @@ def test_pipeline(spark, rows, tmp_path):
     assert len(kept["secret scans"]) == len(one) and any("[SECRET]" in r.text for r in kept["secret scans"])
     total = sum(len(words(r.text)) for r in kept["secret scans"])
     assert abs(sum(len(words(r.text)) for r in kept["source mixing"]) - total) <= 4
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(kept["source mixing"])
+    got = Counter(tuple(r[c] for c in ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert got == plain_pipeline(spark, rows + more)
+
+
+def plain_pipeline(spark, rows):
+    """What run() returns, by plain loops; the language model and the Markov ratios are those of the stages."""
+    import tiktoken
+
+    learn = langid.learnable(spark.createDataFrame(rows, SCHEMA))
+    model, letter = langid.fit(learn), re.compile(r"[^\W\d_]")
+    left = [r for r in rows if r[1] and letter.search(r[1]) and langid.label_bytes(model, r[1].encode()).mean(0).max() >= 0.3]
+    groups, one = defaultdict(list), []
+    sets = [frozenset(tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))) for w in (words(r[1]) for r in left)]
+    root = list(range(len(left)))
+    for i in range(len(left)):
+        for j in range(i):
+            if words(left[i][1]) and words(left[j][1]) and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                old, new = root[i], root[j]
+                root = [new if x == old else x for x in root]
+    for i, r in enumerate(left):
+        groups[root[i]].append(r)
+    for members in groups.values():
+        if words(members[0][1]):
+            one.append(min(members, key=lambda r: (r[0] is None, r[0] or 0)))
+        else:
+            one += members
+    found = {(r.doc_id, r.text): r.secret_spans for r in secrets.scan_secrets(spark.createDataFrame(one, SCHEMA)).collect()}
+    clean = []
+    for r in one:
+        out, pos = [], 0
+        for s in found[r[0], r[1]]:
+            if s.start >= pos:
+                out.append(r[1][pos : s.start] + "[SECRET]")
+            pos = max(pos, s.end)
+        clean.append((r[0], "".join(out) + r[1][pos:], r[3]))
+    size = Counter()
+    for _, text, source in clean:
+        size[source] += len(words(text))
+    names = sorted((s for s in size if s is not None)) + [None] * (None in size)
+    weight = {s: i % 3 + 1 for i, s in enumerate(names)}
+    target, open_, rest = {}, set(names), sum(size.values())
+    while True:
+        level = rest / sum(weight[s] for s in open_)
+        full = [s for s in open_ if 3 * size[s] < level * weight[s]]
+        if not full:
+            break
+        for s in full:
+            target[s] = 3 * size[s]
+            rest -= target[s]
+            open_.discard(s)
+    target |= {s: level * weight[s] for s in open_}
+    mixed = []
+    for s in names:
+        docs = sorted(((hashlib.md5(f"7|{'' if i is None else i}|{t}".encode()).hexdigest(), i, t) for i, t, x in clean if x == s))
+        budget = math.floor(target[s])
+        while budget > 0:
+            for _, i, t in docs:
+                n = min(len(words(t)), budget)
+                if n:
+                    ends = [m.end() for m in WORD.finditer(t)]
+                    mixed.append((i, t if n == len(ends) else t[: ends[n - 1]]))
+                budget -= n
+    ranks, pattern = bpe.vocabulary()
+    enc = tiktoken.Encoding("plain", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    out = Counter()
+    for i, t in mixed:
+        ids = enc.encode_ordinary(t)
+        out[i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()] += 1
+    return out
+
+
+def test_pipeline_on_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_on_one_language_and_nulls(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(i, prose(random.Random(i), 30), "l1", None, None, 0, 0.0) for i in range(6)] + [(9, None, None, None, None, None, None)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(range(6))
