@@ -3,14 +3,15 @@
 Unit vectors are cut into halves, each half is quantised by its own codebook, and a vector's cell is its
 pair of centroids.  A query walks the pairs by rising summed distance (a heap over the two sorted lists)
 until the cells hold ``share`` of all vectors; the vectors of those cells are ranked by their exact
-cosine.  Codebooks are fitted on at most ``sample`` vectors; every vector is indexed.
+cosine.  Codebooks are fitted on at most ``sample`` vectors and grow with the number of vectors, so that
+cells stay small; every vector is indexed.  ``share`` is measured, unless given: the least at which PROBES
+vectors of the sample find ``recall`` of their nearest ones within the sample.
 
 Cells with more than ``part`` vectors are split into numbered parts, so that a cell which holds a third of
 all rows is worked on by many tasks; each part answers with its own best ``k``.  Equal vectors of a part
 are compared once.  The cell counts and codebooks that reach the driver are as large as the codebooks, not the data.
 
-Recall against brute force is measured in the tests; ``share`` sets it.  The vectors here have next to no
-cluster structure, so a small share can't reach 0.9.
+Recall against brute force over all vectors is measured in the tests.
 
 Edge cases: vectors that are null, zero, hold null or non-finite components, or are not of the most
 common length take no part, as queries or candidates; a null id takes no part either; fewer than k
@@ -77,25 +78,56 @@ def walk(first: np.ndarray, second: np.ndarray, counts: np.ndarray, enough: floa
     return out
 
 
+#: Vectors of the sample that are searched for in it, to measure the share.
+PROBES = 200
+SHARES = (0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.9)
+
+
+def codebook_size(vectors: int) -> int:
+    """Centroids of a half: a power of two from 16 to 256, of which pairs have eight vectors each."""
+    return int(np.clip(2 ** int(np.log2(max(vectors, 8) / 8) / 2), 16, 256))
+
+
+def share_for(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], k: int, recall: float) -> float:
+    """The least of SHARES, or 1, at which the first PROBES of the unit vectors ``x`` find ``recall`` of their ``k`` nearest others."""
+    half, width = books[0].shape[1], len(books[1])
+    cell = nearest(x[:, :half], books[0]) * width + nearest(x[:, half:], books[1])
+    counts = np.bincount(cell, minlength=len(books[0]) * width)
+    probes = x[:PROBES]
+    near = probes @ x.T
+    near[np.arange(len(probes)), np.arange(len(probes))] = -9
+    k = min(k, len(x) - 1)
+    if k < 1:
+        return 1.0
+    wanted = cell[np.argpartition(-near, k - 1, axis=1)[:, :k]]
+    first, second = distances(probes[:, :half], books[0]), distances(probes[:, half:], books[1])
+    needed = np.zeros(wanted.shape)  # share that is held when the walk reaches the cell
+    for i in range(len(probes)):
+        way = walk(first[i], second[i], counts, len(x))
+        held = dict(zip(way, (np.cumsum(counts[way]) - counts[way]) / len(x), strict=True))
+        needed[i] = [held[c] for c in wanted[i]]
+    return next((s for s in SHARES if (needed < s).mean() >= recall), 1.0)
+
+
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def usable_vectors(table: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, int]:
-    """(id, v array<double>) of the vectors that take part, and their length."""
+def usable_vectors(table: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, int, int]:
+    """(id, v array<double>) of the vectors that take part, their length and number."""
     v = F.col(vec_col).cast("array<double>")
     t = table.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), v.alias("v"))
     good = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     t = t.where(F.col("v").isNotNull() & good)
     length = t.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "n").first()
     dim = length.n if length else 0
-    return t.where(F.size("v") == dim), dim
+    return t.where(F.size("v") == dim), dim, length.c if length else 0
 
 
-def search(table: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, share: float = 0.6, centroids: int = 16, sample: int = 20000, part: int = 500) -> DataFrame:
+def search(table: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, share: float | None = None, recall: float = 0.95, centroids: int | None = None, sample: int = 20000, part: int = 500) -> DataFrame:
     """(query_id, rank, vec_id, score) of the ``k`` nearest found to each row for which ``is_query`` (a condition on ``id_col``) holds."""
     spark = table.sparkSession
-    vectors, dim = usable_vectors(table, id_col, vec_col)
+    vectors, dim, number = usable_vectors(table, id_col, vec_col)
     empty = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     if not dim:
         return empty
@@ -103,7 +135,9 @@ def search(table: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col:
     x = _matrix(picked["v"].combine_chunks(), dim)
     x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
     half = dim // 2
-    books = kmeans(x[:, :half], centroids), kmeans(x[:, half:], centroids)
+    size = centroids or codebook_size(number)
+    books = kmeans(x[:, :half], size), kmeans(x[:, half:], size)
+    share = share_for(x, books, k, recall) if share is None else share
     shared = spark.sparkContext.broadcast(books)
     width = len(books[1])
     query = F.col("query")

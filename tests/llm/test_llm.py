@@ -466,6 +466,16 @@ def test_multi_index(spark):
     assert [r.vec_id for r in sorted((r for r in got if r.query_id == 0), key=lambda r: r.rank)][:2] == [7, 9]
 
 
+def test_share_follows_the_data():
+    rng = np.random.default_rng(3)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    centres = rng.standard_normal((200, 16))
+    for x, most, least in ((unit(centres[rng.integers(0, 200, 4000)] + 0.05 * rng.standard_normal((4000, 16))), 0.05, 0), (unit(rng.standard_normal((4000, 64))), 1, 0.3)):
+        books = multi_index.kmeans(x[:, : x.shape[1] // 2], 32), multi_index.kmeans(x[:, x.shape[1] // 2 :], 32)
+        assert least <= multi_index.share_for(x, books, 5, 0.95) <= most
+    assert [multi_index.codebook_size(n) for n in (0, 500, 51_000, 10**9)] == [16, 16, 64, 256]
+
+
 def test_multi_index_repeated_ids(spark):
     rng = np.random.default_rng(2)
     x = rng.standard_normal((80, 4))
