@@ -7,8 +7,9 @@ cosine.  Codebooks are fitted on at most ``sample`` vectors and grow with the nu
 cells stay small; every vector is indexed.  ``share`` is measured, unless given: the least at which PROBES
 vectors of the sample find ``recall`` of their nearest ones within the sample.
 
-Cells with more than ``part`` vectors are split into numbered parts, so that a cell which holds a third of
-all rows is worked on by many tasks; each part answers with its own best ``k``.  Equal vectors of a part
+Cells are dealt into groups of about ``part`` vectors: small ones share a group with cells beside them, larger
+ones are split over several, so that a cell which holds a third of all rows is worked on by many tasks.  A
+group answers a query with the best ``k`` of the cells that the query's walk has reached there.  Equal vectors of a part
 are compared once.  The cell counts and codebooks that reach the driver are as large as the codebooks, not the data.
 
 Recall against brute force over all vectors is measured in the tests.
@@ -109,6 +110,21 @@ def share_for(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], k: int, recal
     return next((s for s in SHARES if (needed < s).mean() >= recall), 1.0)
 
 
+def deal_cells(counts: np.ndarray, part: int) -> tuple[np.ndarray, np.ndarray]:
+    """First group of each cell, and number of its groups."""
+    start, pieces = np.zeros(len(counts), np.int64), np.maximum(-(-counts // part), 1)
+    group, filled = 0, 0
+    for cell, n in enumerate(counts.tolist()):
+        if filled and filled + n > part:
+            group, filled = group + 1, 0
+        start[cell] = group
+        if n > part:
+            group, filled = group + int(pieces[cell]), 0
+        else:
+            filled += n
+    return start, pieces
+
+
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
@@ -154,12 +170,11 @@ def search(table: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col:
     counts = np.zeros(len(books[0]) * width, np.int64)
     for r in index.groupBy("cell").count().collect():
         counts[r.cell] = r["count"]
-    parts = np.maximum(-(-counts // part), 1)
-    sizes = spark.sparkContext.broadcast((counts, parts))
+    dealt = spark.sparkContext.broadcast((counts, *deal_cells(counts, part)))
 
     def ask(batches):
         c1, c2 = shared.value
-        n, split = sizes.value
+        n, start, pieces = dealt.value
         for b in batches:
             y = _matrix(b.column(1), dim)
             ids = b.column(0).to_numpy()
@@ -168,34 +183,46 @@ def search(table: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col:
             asks = defaultdict(list)
             for i in range(len(y)):
                 for cell in walk(first[i], second[i], n, max(share * n.sum(), k + 1)):
-                    asks[cell].append(i)
-            for cell, who in asks.items():
-                m = int(split[cell])
-                data, own = y[who].tobytes(), ids[who].astype("<i8").tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([cell] * m, pa.int32()), pa.array(range(m), pa.int32()), pa.array([own] * m, pa.binary()), pa.array([data] * m, pa.binary())], ["cell", "piece", "ids", "data"])
+                    for group in range(start[cell], start[cell] + pieces[cell]):
+                        asks[group].append((i, cell))
+            for group, pairs in asks.items():
+                who, own = np.unique([i for i, _ in pairs], return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (ids[who].astype("<i8"), y[who], own.astype("<i4"), np.array([c for _, c in pairs], "<i4")))], ["group", "ids", "data", "asker", "cells"])
+
+    def deal(batches):
+        _, start, pieces = dealt.value
+        for b in batches:
+            ids, cell = b.column(0).to_numpy(), b.column(2).to_numpy()
+            piece = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % pieces[cell].astype(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(start[cell] + piece.astype(np.int64), pa.int32()), b.column(2), b.column(0), b.column(1)], ["group", "cell", "id", "v"])
 
-    asked = index.where(query).select("id", "v").mapInArrow(ask, "cell int, piece int, ids binary, data binary")
-    pieces = F.element_at(F.split(F.lit(",".join(map(str, parts))), ",").cast("array<int>"), F.col("cell") + 1)
-    entries = index.select("cell", F.pmod(F.xxhash64("id"), pieces).cast("int").alias("piece"), "id", "v")
+    asked = index.where(query).select("id", "v").mapInArrow(ask, "group int, ids binary, data binary, asker binary, cells binary")
+    entries = index.select("id", "v", "cell").mapInArrow(deal, "group int, cell int, id bigint, v array<double>")
 
     def rank(left: pa.Table, right: pa.Table) -> pa.Table:
         names, kinds = ["query_id", "vec_id", "score"], [pa.int64(), pa.int64(), pa.float64()]
         if not left.num_rows or not right.num_rows:
             return pa.table([pa.array([], t) for t in kinds], names=names)
-        ids, y = left.column("id").to_numpy(), _matrix(left.column("v").combine_chunks(), dim)
-        order = np.lexsort((ids, *y.T))
-        ids, y = ids[order], y[order]
-        # of equal vectors the k + 1 smallest ids are enough for any query
-        same = np.concatenate([np.zeros(k + 1, bool), (y[k + 1 :] == y[: -k - 1]).all(axis=1)]) if len(y) > k + 1 else np.zeros(len(y), bool)
-        ids, y = ids[~same], y[~same]
+        ids, y, cell = left.column("id").to_numpy(), _matrix(left.column("v").combine_chunks(), dim), left.column("cell").to_numpy()
+        order = np.lexsort((ids, cell, *y.T))
+        ids, y, cell = ids[order], y[order], cell[order]
+        # of equal vectors of a cell the k + 1 smallest ids are enough for any query
+        same = np.concatenate([np.zeros(k + 1, bool), (y[k + 1 :] == y[: -k - 1]).all(axis=1) & (cell[k + 1 :] == cell[: -k - 1])]) if len(y) > k + 1 else np.zeros(len(y), bool)
+        ids, y, cell = ids[~same], y[~same], cell[~same]
+        cells, own_cell = np.unique(cell, return_inverse=True)
         norm = np.sqrt((y * y).sum(axis=1))
         repeated = len(np.unique(ids)) < len(ids)
         out = [], [], []
-        for own, data in zip(right.column("ids").to_pylist(), right.column("data").to_pylist(), strict=True):
+        for own, data, asker, wanted in zip(*(right.column(c).to_pylist() for c in ("ids", "data", "asker", "cells")), strict=True):
             own, q = np.frombuffer(own, "<i8"), np.frombuffer(data).reshape(-1, dim)
+            asker, wanted = np.frombuffer(asker, "<i4"), np.frombuffer(wanted, "<i4")
+            there = np.isin(wanted, cells)  # a piece of a cell may have got no vector
+            looks = np.zeros((len(q), len(cells)), bool)
+            looks[asker[there], np.searchsorted(cells, wanted[there])] = True
             rough = (q / np.sqrt((q * q).sum(axis=1, keepdims=True))) @ (y / norm[:, None]).T
+            rough = np.where(looks[:, own_cell] & (ids[None, :] != own[:, None]), rough, -9.0)
             for i in range(len(q)):
-                r = np.where(ids == own[i], -9.0, rough[i])
+                r = rough[i]
                 least = np.partition(r, -k)[-k] if len(r) > k and not repeated else -2.0
                 near = np.flatnonzero((r >= least - 1e-9) & (r > -5))
                 # one product and sum per pair, so that equal vectors get equal scores
@@ -209,7 +236,7 @@ def search(table: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col:
                 out[2].extend(exact[best])
         return pa.table([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=names)
 
-    found = entries.groupBy("cell", "piece").cogroup(asked.groupBy("cell", "piece")).applyInArrow(rank, "query_id bigint, vec_id bigint, score double")
+    found = entries.groupBy("group").cogroup(asked.groupBy("group")).applyInArrow(rank, "query_id bigint, vec_id bigint, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

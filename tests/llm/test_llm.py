@@ -473,6 +473,8 @@ def test_share_follows_the_data():
     for x, most, least in ((unit(centres[rng.integers(0, 200, 4000)] + 0.05 * rng.standard_normal((4000, 16))), 0.05, 0), (unit(rng.standard_normal((4000, 64))), 1, 0.3)):
         books = multi_index.kmeans(x[:, : x.shape[1] // 2], 32), multi_index.kmeans(x[:, x.shape[1] // 2 :], 32)
         assert least <= multi_index.share_for(x, books, 5, 0.95) <= most
+    start, pieces = multi_index.deal_cells(np.array([3, 4, 9, 0, 25, 1, 10]), 10)
+    assert start.tolist() == [0, 0, 1, 1, 2, 5, 6] and pieces.tolist() == [1, 1, 1, 1, 3, 1, 1]
     assert [multi_index.codebook_size(n) for n in (0, 500, 51_000, 10**9)] == [16, 16, 64, 256]
 
 
