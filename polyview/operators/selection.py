@@ -19,11 +19,20 @@ def portable_key(key: Column, seed: int) -> Column:
 
 
 def split_flags(df: DataFrame, key: str, test_size: float = 0.25, seed: int = 0, stratify: str | None = None) -> DataFrame:
-    """``df`` with is_test; ceil(test_size * n) rows (of each stratum) are test rows, by scrambled key."""
-    part = Window.partitionBy(*([stratify] if stratify else [F.lit(0)]))
-    order = part.orderBy(portable_key(F.col(key), seed), key)
-    n = F.count("*").over(part)
-    return df.withColumn("is_test", F.row_number().over(order) <= F.ceil(n * F.lit(test_size)))
+    """``df`` with is_test; ceil(test_size * n) rows (of each stratum) are test rows, by scrambled key.
+
+    A row's place is the number of rows of lesser scrambled keys, from a count of each, plus its place
+    among the rows of its own, so that no window holds a whole stratum.
+    """
+    place = {"__stratum": F.col(stratify) if stratify else F.lit(""), "__key": portable_key(F.col(key), seed)}
+    counts = df.groupBy(*[c.alias(n) for n, c in place.items()]).agg(F.count("*").alias("__n"))
+    stratum = Window.partitionBy("__stratum")
+    counts = counts.select(F.col("__stratum").alias("__s"), F.col("__key").alias("__k"), (F.sum("__n").over(stratum.orderBy("__key")) - F.col("__n")).alias("__before"), F.sum("__n").over(stratum).alias("__all"))
+    if not stratify:  # a scrambled key has 10,007 values
+        counts = F.broadcast(counts)
+    rows = df.withColumns(place | {"__rank": F.row_number().over(Window.partitionBy(*place.values()).orderBy(key))})
+    found = rows.join(counts, rows["__stratum"].eqNullSafe(counts["__s"]) & rows["__key"].eqNullSafe(counts["__k"]))
+    return found.withColumn("is_test", F.col("__before") + F.col("__rank") <= F.ceil(F.col("__all") * F.lit(test_size))).select(*df.columns, "is_test")
 
 
 def train_test_split(mv: MultiviewFrame, test_size: float = 0.25, seed: int = 0, stratify: bool = False) -> tuple[MultiviewFrame, MultiviewFrame]:

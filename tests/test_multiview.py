@@ -1,5 +1,7 @@
 """The multi-view engine against numpy twins, invariants and published values."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -419,3 +421,15 @@ def test_simulators_return_what_they_drew(spark):
     mv, (u, s, ws) = datasets.sample_joint_factor_model(spark, 60, [5, 4], 2, noise_std=1e-6, return_decomp=True)
     for x, w in zip(local(mv), ws, strict=True):
         assert np.allclose(x, local(u)[0] * s @ w.T, atol=1e-4)
+
+
+@pytest.mark.parametrize("stratify", [None, "g"])
+def test_split_flags_against_an_ordered_list(spark, stratify):
+    rows = [(None if i == 7 else i * 3, None if i % 5 == 4 else i % 5) for i in range(1003)]
+    found = selection.split_flags(spark.createDataFrame(rows, "k bigint, g bigint"), "k", 0.3, 2, stratify).collect()
+    assert len(found) == len(rows)
+    for g in {r[1] for r in rows} if stratify else [...]:
+        of = [r for r in found if g is ... or r["g"] == g]
+        order = sorted(of, key=lambda r: (r["k"] is not None, ((r["k"] or 0) * 7919 + 2 * 104729) % 10007, r["k"] or 0))
+        want = math.ceil(0.3 * len(of))
+        assert [r["is_test"] for r in order] == [i < want for i in range(len(of))]
