@@ -2,7 +2,7 @@
 
 A document is the set of its word n-grams, as 64-bit hashes.  Documents with equal sets form a class, and
 only classes are joined.  All n-grams have one global order: those that a sketch calls frequent last, and
-by hash within each half.  Similar sets must share an n-gram among the first few of this order (the prefix),
+by hash within each half.  The sketch is made of counts over all documents.  Similar sets must share an n-gram among the first few of this order (the prefix),
 so candidates come from posting lists of prefix n-grams.  The order decides only how long those lists are,
 never which links are found, so the sketch may err.
 
@@ -29,14 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import chunked, pack_numbers, unpack_numbers
+from .bpe import chunked, pack_longs, pack_numbers, unpack_longs, unpack_numbers
 from .common import WORD, durable, load, partitions, tokenise
 from .components import components
 
 #: Bits of the sketch of frequent n-grams, over all buckets; 2 MB whatever the input.
 SKETCH_BITS = 1 << 24
-#: One document in SKETCH_EVERY is counted for the sketch; SKETCH_LEAST sightings make an n-gram frequent.
-SKETCH_EVERY, SKETCH_LEAST = 16, 3
+#: So many sightings over all documents make an n-gram frequent.
+SKETCH_LEAST = 48
+#: Longer words (in bytes) are hashed one by one.
+LONG_WORD = 256
 #: Besides its longest list, a class is compared in up to LONG_RUNS - 1 more that have LONG members.
 LONG, LONG_RUNS = 64, 6
 CHUNK = 4 << 20
@@ -50,10 +52,31 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def ngram_sets(texts: list, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Owner and hash of every distinct n-gram of the texts, sorted by owner and hash."""
+def word_hashes(words: pa.StringArray) -> np.ndarray:
+    """64-bit hashes of words, eight bytes of all words at a time."""
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(bytes(words.buffers()[2] or b"") + bytes(8), np.uint8)
+    eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))  # the eight bytes from every place on
+    start, size = ends[:-1], np.diff(ends)
+    out = _mix(size.astype(np.uint64) * _MULT[0] + _MULT[1])
+    at = np.flatnonzero((size > 0) & (size <= LONG_WORD))
+    for done in range(0, LONG_WORD, 8):
+        at = at[size[at] > done]
+        if not len(at):
+            break
+        unused = np.maximum(8 - (size[at] - done), 0).astype(np.uint64) * np.uint64(8)
+        out[at] = _mix((out[at] ^ (eight[start[at] + done] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> unused))) * _MULT[2] + _MULT[3])
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[ends[i] : ends[i + 1]], digest_size=8).digest(), "little")
+    return out
+
+
+def ngrams(texts: list, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Owner and hash of every n-gram of the texts, as they come."""
     stream, lengths, distinct = tokenise(pa.array(texts, pa.string()))
-    hashed = np.frombuffer(b"".join(hashlib.blake2b(w.encode(), digest_size=8).digest() for w in distinct.to_pylist()), np.uint64)[stream] if len(stream) else np.zeros(0, np.uint64)
+    hashed = word_hashes(distinct)[stream] if len(stream) else np.zeros(0, np.uint64)
     owner = np.repeat(np.arange(len(lengths)), lengths)
     left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(stream))  # words from here to the text's end
     grams = np.zeros(len(stream), np.uint64)
@@ -62,18 +85,34 @@ def ngram_sets(texts: list, n: int) -> tuple[np.ndarray, np.ndarray]:
         grams = _mix(grams * _MULT[i % 4] + np.where(left > i, shifted, np.uint64(i + 1)))
     first = np.arange(len(stream)) == np.repeat(np.cumsum(lengths) - lengths, lengths)
     keep = (left >= n) | (first & (left < n))
-    owner, grams = owner[keep], grams[keep]
-    order = np.lexsort((grams, owner))
+    return owner[keep], grams[keep]
+
+
+def _by(groups: np.ndarray) -> np.ndarray:
+    """A stable order by small numbers."""
+    return np.argsort(groups.astype(np.uint16) if len(groups) and groups.max() < 1 << 16 else groups, kind="stable")
+
+
+def ngram_sets(texts: list, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Owner and hash of every distinct n-gram of the texts, sorted by owner and hash."""
+    owner, grams = ngrams(texts, n)
+    order = np.argsort(grams)
+    order = order[_by(owner[order])]
     owner, grams = owner[order], grams[order]
     fresh = np.ones(len(grams), bool)
     fresh[1:] = (owner[1:] != owner[:-1]) | (grams[1:] != grams[:-1])
     return owner[fresh], grams[fresh]
 
 
+def _short(grams: np.ndarray) -> np.ndarray:
+    """The upper 40 bits, by which n-grams are counted."""
+    return grams >> np.uint64(24)
+
+
 def _split(grams: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of each n-gram, and its bit in the bucket's part of the sketch."""
-    bits = SKETCH_BITS // buckets
-    return (grams % np.uint64(buckets)).astype(np.int64), ((grams >> np.uint64(20)) % np.uint64(bits)).astype(np.int64)
+    """Bucket of each n-gram (a range of hashes), and its bit in the bucket's part of the sketch."""
+    short = _short(grams)
+    return ((short * np.uint64(buckets)) >> np.uint64(40)).astype(np.int64), (short % np.uint64(SKETCH_BITS // buckets)).astype(np.int64)
 
 
 def _pack64(x: np.ndarray) -> bytes:
@@ -81,32 +120,35 @@ def _pack64(x: np.ndarray) -> bytes:
 
 
 def frequent_sketch(docs: DataFrame, text_col: str, n: int, buckets: int) -> np.ndarray:
-    """Bitmap (buckets, bits) of n-grams seen often in a fixed part of the documents (by a hash of the text)."""
+    """Bitmap (buckets, bits) of the n-grams seen at least SKETCH_LEAST times in all documents."""
 
     def count(batches):
         for group in chunked(batches, 0, CHUNK):
-            _, grams = ngram_sets([t for b in group for t in b.column(0).to_pylist()], n)
-            grams, times = np.unique(grams, return_counts=True)
-            bucket, _ = _split(grams, buckets)
-            order = np.argsort(bucket, kind="stable")
-            ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            rows = [(i, order[a:b]) for i, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if b > a]
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int32()), pa.array([_pack64(grams[x]) for _, x in rows], pa.binary()), pa.array([pack_numbers(times[x]) for _, x in rows], pa.binary())], ["bucket", "grams", "times"])
+            grams = np.sort(ngrams([t for b in group for t in b.column(0).to_pylist()], n)[1])
+            cuts = np.searchsorted(_split(grams, buckets)[0], np.arange(buckets + 1)).tolist()
+            rows = []
+            for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                if b > a:  # sorted hashes as differences
+                    keys, times = np.unique(_short(grams[a:b]), return_counts=True)
+                    rows.append((i, pack_longs(np.diff(keys, prepend=np.uint64(0))), pack_numbers(times)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2))], ["bucket", "grams", "times"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, times, bucket = [], [], None
         for b in batches:
             for bucket, g, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                grams.append(np.frombuffer(g, "<u8"))
+                grams.append(np.cumsum(unpack_longs(g)))
                 times.append(unpack_numbers(t))
-        keys, inv = np.unique(np.concatenate(grams), return_inverse=True)
-        often = keys[np.bincount(inv, np.concatenate(times)) >= SKETCH_LEAST]
+        grams, times = np.concatenate(grams), np.concatenate(times)
+        order = np.argsort(grams)
+        grams, times = grams[order], times[order].astype(np.int64)
+        start = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+        often = grams[start[np.add.reduceat(times, start) >= SKETCH_LEAST]].astype(np.uint64)
         bits = np.zeros(SKETCH_BITS // buckets, bool)
-        bits[_split(often, buckets)[1]] = True
+        bits[_split(often << np.uint64(24), buckets)[1]] = True
         yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bucket", "bits"])
 
-    some = docs.where(F.pmod(F.xxhash64(text_col), F.lit(SKETCH_EVERY)) == 0).select(text_col)
-    found = some.mapInArrow(count, "bucket int, grams binary, times binary").groupBy("bucket").applyInArrow(merge, "bucket int, bits binary")
+    found = docs.select(text_col).mapInArrow(count, "bucket int, grams binary, times binary").groupBy("bucket").applyInArrow(merge, "bucket int, bits binary")
     out = np.zeros((buckets, SKETCH_BITS // buckets), bool)
     for r in found.toLocalIterator():
         out[r.bucket] = np.unpackbits(np.frombuffer(bytes(r.bits), np.uint8), count=out.shape[1]).astype(bool)
@@ -136,7 +178,7 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, text_col: str, n: int, percent
             keep = rep[owner]
             owner, grams = owner[keep], grams[keep]
             bucket, bit = _split(grams, buckets)
-            order = np.lexsort((grams, bits[bucket, bit], owner))
+            order = _by(2 * owner + bits[bucket, bit])  # n-grams are in order already
             owner, grams, bucket = owner[order], grams[order], bucket[order]
             per = np.bincount(owner, minlength=len(texts))
             place = np.arange(len(owner)) - (np.cumsum(per) - per)[owner]

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -199,6 +200,23 @@ def test_jaccard_groups(docs, rows, n, percent):
     assert jaccard.join_groups(docs.limit(0)).count() == 0
 
 
+def test_jaccard_counts_every_document(spark):
+    often, seldom = "these four words often", "those four words seldom"
+    texts = [often] * jaccard.SKETCH_LEAST + [seldom] * (jaccard.SKETCH_LEAST - 1)
+    df = spark.createDataFrame([(f"{t} {i} {i}a {i}b",) for i, t in enumerate(texts)], "text string").repartition(5)
+    found = jaccard.frequent_sketch(df, "text", 4, 16)
+    at = [tuple(int(x[0]) for x in jaccard._split(jaccard.ngrams([t], 4)[1], 16)) for t in (often, seldom)]
+    assert [bool(found[i]) for i in at] == [True, False] and found.sum() == 1
+
+
+def test_jaccard_word_hashes(spark):
+    words = ["", "a", "aa", "b", "a\0", "12345678", "123456789", "x" * 300, "x" * 301, "ä" * 9, *(str(i) for i in range(10_000))]
+    got = jaccard.word_hashes(pa.array(words, pa.string()))
+    assert len(set(got.tolist())) == len(words)
+    assert (jaccard.word_hashes(pa.array(words[::-1], pa.string()))[::-1] == got).all()
+    assert (jaccard.word_hashes(pa.array(words, pa.string())[3:]) == got[3:]).all() and not len(jaccard.word_hashes(pa.array([], pa.string())))
+
+
 def test_jaccard_large_group_in_blocks(spark):
     rng = random.Random(1)
     base = prose(rng, 150).split()
