@@ -557,3 +557,19 @@ def test_spectral_rounds_compute_half_the_pairs(spark, monkeypatch, make):
         spent.append(sum(sizes))
         del sizes[:]
     assert 0 < spent[1] - spent[0] < 5 * 2 * 0.6 * n * n  # five rounds of both views
+
+
+def test_coreg_rounds_compute_half_the_pairs(spark, monkeypatch):
+    from polyview.plans import pairs
+
+    rng, n = np.random.default_rng(16), 1500
+    xs = [rng.standard_normal((n, 3)) for _ in range(2)]
+    sizes, passes, of = counted_pairs(monkeypatch), [], pairs.products
+    monkeypatch.setattr(pairs, "products", lambda views, asked, *args: passes.append(asked[0][3].shape[1]) or of(views, asked, *args))
+    spent = []
+    for rounds in (1, 6):
+        cluster.MultiviewCoRegSpectralClustering(3, random_state=0, max_iter=rounds).embed(cluster.Affinities(spark, xs))
+        spent.append((sum(sizes), len(passes)))
+        del sizes[:], passes[:]
+    more = spent[1][1] - spent[0][1]
+    assert more >= 10 and spent[1][0] - spent[0][0] < more * 0.6 * n * n  # five rounds of both views
