@@ -573,3 +573,25 @@ def test_coreg_rounds_compute_half_the_pairs(spark, monkeypatch):
         del sizes[:], passes[:]
     more = spent[1][1] - spent[0][1]
     assert more >= 10 and spent[1][0] - spent[0][0] < more * 0.6 * n * n  # five rounds of both views
+
+
+@pytest.mark.parametrize("name", ["spectral_clusters", "coreg_clusters"])
+def test_cluster_counts_use_the_halved_passes(spark, monkeypatch, tmp_path, name):
+    from polyview import checks, queries  # noqa: F401  checks registers its queries
+    from polyview.plans import pairs
+
+    rng, n = np.random.default_rng(17), 1200
+    rows = [(i, [float(x) for x in rng.standard_normal(64) + 5 * (i % 4)], i % 4) for i in range(n)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    sizes, narrow, of = counted_pairs(monkeypatch), [], pairs.products
+
+    def products(views, asked, *args):
+        before = sum(sizes)
+        out = of(views, asked, *args)
+        if sum(a[3].shape[1] for a in asked) <= pairs.NARROW:
+            narrow.append((sum(sizes) - before) / len(asked))
+        return out
+
+    monkeypatch.setattr(pairs, "products", products)
+    assert queries.QUERIES[name](spark, str(tmp_path)).collect() == [(n, 4)]
+    assert narrow and max(narrow) < 0.65 * n * n
