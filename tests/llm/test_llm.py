@@ -688,3 +688,23 @@ def test_pipeline_on_one_language_and_nulls(spark, tmp_path):
     rows = [(i, prose(random.Random(i), 30), "l1", None, None, 0, 0.0) for i in range(6)] + [(9, None, None, None, None, None, None)]
     spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(range(6))
+
+
+def test_pipeline_counts_ngrams_of_every_document(spark, monkeypatch):
+    import corpus_pipeline
+
+    rng, often, seldom = random.Random(5), "these five words come often", "those five words come seldom"
+    base = prose(rng, 60)
+    texts = [often] * jaccard.SKETCH_LEAST + [seldom] * (jaccard.SKETCH_LEAST - 1)
+    rows = [(i, f"{t} {i} {prose(rng, 12)}") for i, t in enumerate(texts)] + [(1000 + i, f"{often} {base} {i}") for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    sketches, of = [], jaccard.frequent_sketch
+    monkeypatch.setattr(jaccard, "frequent_sketch", lambda *args: sketches.append(of(*args)) or sketches[-1])
+    kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["n-gram Jaccard join"](spark, df, None).collect()}
+    assert kept == {r[0] for r in rows} - {1001, 1002, 1003}
+    at = [tuple(int(x[0]) for x in jaccard._split(jaccard.ngrams([t], 5)[1], len(sketches[0]))) for t in (often, seldom)]
+    assert [bool(sketches[0][i]) for i in at] == [True, False]
+    # the sketch decides the order only: without it, or with every n-gram frequent, the same documents stay
+    for value in (False, True):
+        monkeypatch.setattr(jaccard, "frequent_sketch", lambda *args, value=value: np.full(sketches[0].shape, value))
+        assert {r.doc_id for r in dict(corpus_pipeline.STAGES)["n-gram Jaccard join"](spark, df, None).collect()} == kept
